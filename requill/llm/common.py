@@ -145,85 +145,169 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 #: Rows that a map task gathers before it looks for equal keys among them.
 LOCAL_ROWS = 1_500_000
-#: SINGLE: one local row has the key. SHARED: several had it, this one stands for them. KNOWN: its key is met already.
-SINGLE, SHARED, KNOWN = 0, 1, 2
-REPEATS = "k1 long, k2 long, doc long, tag int, pos int, flag byte"
-REPEATS_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("pos", pa.int32()), ("flag", pa.int8())])
+#: Rows that are sorted at a time when repeats are sought.
+SORT_ROWS = 2_000_000
+PACKED = "bucket int, rows binary"
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of an array, all first bytes before all second ones: small numbers leave planes of zeros that compress away."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+class Reader:
+    """Takes arrays back out of the bytes of ``planes``."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at = np.frombuffer(data, np.uint8), 0
+
+    def take(self, n: int, kind: type) -> np.ndarray:
+        size = n * np.dtype(kind).itemsize
+        part = self.data[self.at : self.at + size].reshape(np.dtype(kind).itemsize, n)
+        self.at += size
+        return np.ascontiguousarray(part.T).reshape(-1).view(kind)
 
 
 class LocalRepeats:
-    """Pre-aggregation before a shuffle on keys (k1, k2).
+    """Rows (key, extra bits of the key, document, position), made ready to look for keys that repeat.
 
-    Of the rows with one key in a block of LOCAL_ROWS only one goes on to be
-    compared with other blocks; the others are known to repeat and are sent on
-    under keys of their own. No key has more compared rows than there are blocks.
+    Of the rows of a block (LOCAL_ROWS) that share a key only one is compared
+    with other blocks, marked as shared; the others are known to repeat and
+    travel by document. So no key has more compared rows than there are blocks.
+    What goes to one bucket of the key space is packed into one value, sorted
+    by key.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
         self.parts: list[tuple] = []
-        self.rows = 0
-
-    def add(self, k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(k1):
-            self.parts.append((k1, k2, doc, tag, pos))
-            self.rows += len(k1)
+        self.docs: list[np.ndarray] = []
+        self.tags: list[np.ndarray] = []
+        self.rows = self.known_docs = 0
+
+    def add(self, key: np.ndarray, extra: np.ndarray | None, doc: np.ndarray, tag: np.ndarray, row: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``row`` are places in ``doc`` and ``tag``."""
+        if len(key):
+            self.parts.append((key, np.zeros(0, np.uint32) if extra is None else extra, row + self.known_docs, pos))
+            self.docs.append(doc)
+            self.tags.append(tag)
+            self.known_docs += len(doc)
+            self.rows += len(key)
         if self.rows >= LOCAL_ROWS:
             yield from self.flush()
 
+    def _pack(self, key, extra, row, pos, shared, known_row, known_pos, docs, tags) -> bytes:
+        used = np.unique(np.concatenate((row, known_row)))
+        head = np.array([len(key), len(extra), len(known_row), len(used)], np.int32).tobytes()
+        place = lambda r: planes(np.searchsorted(used, r).astype(np.int32))
+        body = planes(np.diff(docs[used], prepend=0)) + planes(tags[used]) + planes(np.diff(key, prepend=U64(0))) + planes(extra)
+        return head + body + place(row) + planes(pos) + shared.astype(np.uint8).tobytes() + place(known_row) + planes(known_pos)
+
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.rows:
             return
-        k1, k2, doc, tag, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.rows = [], 0
-        order = np.lexsort((k2, k1)) if (k2 != k2[0]).any() else np.argsort(k1, kind="stable")
-        k1s, k2s = k1[order], k2[order]
-        same = np.zeros(len(k1), bool)
-        same[1:] = (k1s[1:] == k1s[:-1]) & (k2s[1:] == k2s[:-1])
-        flag_s = np.where(same, KNOWN, SINGLE).astype(np.int8)
-        flag_s[:-1][same[1:] & ~same[:-1]] = SHARED
-        flag = np.empty_like(flag_s)
-        flag[order] = flag_s
-        known = flag == KNOWN
-        k1, k2 = k1.copy(), k2.copy()
-        k1[known] = mix(k1[known] + doc[known].view(U64) * _M1 + pos[known].astype(U64))
-        yield from batches_of(REPEATS_ARROW, [signed(k1), signed(k2), doc, tag, pos, flag])
+        key, extra, row, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        docs, tags = np.concatenate(self.docs), np.concatenate(self.tags)
+        self.__init__(self.buckets)
+        order = np.lexsort((extra, key)) if len(extra) else np.argsort(key, kind="stable")
+        key, extra, row, pos = key[order], extra[order] if len(extra) else extra, row[order], pos[order]
+        known = np.zeros(len(key), bool)
+        known[1:] = key[1:] == key[:-1]
+        if len(extra):
+            known[1:] &= extra[1:] == extra[:-1]
+        shared = np.zeros(len(key), bool)
+        shared[:-1] = known[1:] & ~known[:-1]
+        known_row, known_pos = row[known], pos[known]
+        key, extra, row, pos, shared = key[~known], extra[~known] if len(extra) else extra, row[~known], pos[~known], shared[~known]
+        limits = np.searchsorted(bucket_of(key, self.buckets), np.arange(self.buckets + 1))
+        spread = bucket_of(mix(docs[known_row].view(U64) + U64(1)), self.buckets)
+        order = np.lexsort((known_pos, known_row, spread))
+        known_row, known_pos = known_row[order], known_pos[order]
+        known_limits = np.searchsorted(spread[order], np.arange(self.buckets + 1))
+        buckets, packed = [], []
+        for b in range(self.buckets):
+            i, j, u, v = limits[b], limits[b + 1], known_limits[b], known_limits[b + 1]
+            if i < j or u < v:
+                buckets.append(b)
+                packed.append(self._pack(key[i:j], extra[i:j] if len(extra) else extra, row[i:j], pos[i:j], shared[i:j], known_row[u:v], known_pos[u:v], docs, tags))
+        yield from batches_of(pa.schema([("bucket", pa.int32()), ("rows", pa.binary())]), [buckets, packed], 2000)
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """An even cut of the key space, in the order of keys."""
+    return ((key >> U64(32)) * U64(buckets)) >> U64(32)
+
+
+def pack_positions(pos: np.ndarray) -> bytes:
+    """Sorted positions as gaps of two bytes, or four after a mark."""
+    gaps = np.diff(pos.astype(np.int64), prepend=0)
+    return b"2" + gaps.astype(np.uint16).tobytes() if not len(gaps) or gaps.max() < 1 << 16 else b"4" + gaps.astype(np.uint32).tobytes()
+
+
+def unpack_positions(packed: list[bytes]) -> np.ndarray:
+    """Distinct positions of several packed lists."""
+    parts = [np.cumsum(np.frombuffer(p, np.uint16 if p[:1] == b"2" else np.uint32, offset=1).astype(np.int64)) for p in packed]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+
+FOUND = "doc long, tag int, at binary"
 
 
 def repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, tag, pos) of rows, sorted by (k1, k2), whose key another row has; holds one batch and one row."""
-    schema = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("pos", pa.int32())])
-    held = None
+    """From one bucket's packed rows: for each document (doc, tag) the positions whose key occurs more than once."""
+    schema = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.binary())])
+    parts, docs, tags, n_docs = [], [], [], 0
+    known: list[tuple] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        fresh = np.ones(batch.num_rows, bool)  # not yet given out
-        if held is not None:
-            cols = [np.concatenate((a, b)) for a, b in zip(held[0], cols, strict=True)]
-            fresh = np.concatenate((held[1], fresh))
-        k1, k2, doc, tag, pos, flag = cols
-        compared = flag != KNOWN
-        give = ~compared
-        at = np.flatnonzero(compared)
-        if len(at):
-            eq = (k1[at][1:] == k1[at][:-1]) & (k2[at][1:] == k2[at][:-1])
-            hit = flag[at] == SHARED
-            hit[1:] |= eq
-            hit[:-1] |= eq
-            give[at] = hit
-            give &= fresh
-            last = at[-1]
-            held = ([c[last : last + 1] for c in cols], np.array([fresh[last] and not give[last]]))
-        else:
-            give &= fresh
-            held = None
-        yield from batches_of(schema, [doc[give], tag[give], pos[give]])
-
-
-def find_repeats(rows: DataFrame) -> DataFrame:
-    """(doc, tag, pos) of all rows of LocalRepeats whose key occurs more than once anywhere."""
-    dealt = rows.repartition("k1").sortWithinPartitions("k1", "k2")
-    return dealt.mapInArrow(repeated_rows, "doc long, tag int, pos int")
+        for value in batch.column(batch.schema.names.index("rows")).to_pylist():
+            n, n_extra, n_known, used = np.frombuffer(value[:16], np.int32).tolist()
+            read = Reader(value[16:])
+            docs.append(np.cumsum(read.take(used, np.int64)))
+            tags.append(read.take(used, np.int32))
+            key, extra = np.cumsum(read.take(n, np.uint64), dtype=U64), read.take(n_extra, np.uint32)
+            parts.append((key, extra, read.take(n, np.int32) + n_docs, read.take(n, np.int32), read.take(n, np.uint8)))
+            known.append((read.take(n_known, np.int32) + n_docs, read.take(n_known, np.int32)))
+            n_docs += used
+    if not docs:
+        return
+    docs, tags = np.concatenate(docs), np.concatenate(tags)
+    rows, places = [x[0] for x in known], [x[1] for x in known]
+    total = sum(len(p[0]) for p in parts)
+    steps = max(1, -(-total // SORT_ROWS))
+    low = min((int(p[0][0]) for p in parts if len(p[0])), default=0)
+    high = max((int(p[0][-1]) for p in parts if len(p[0])), default=0)
+    for step in range(steps):
+        a, b = (low + (high + 1 - low) * s // steps for s in (step, step + 1))
+        # Keys below b: the last step's b may be past the largest 64-bit number.
+        cuts = [slice(np.searchsorted(p[0], U64(a)), np.searchsorted(p[0], U64(b - 1), "right")) for p in parts]
+        key, extra, row, pos, shared = (np.concatenate([p[i][c] for p, c in zip(parts, cuts, strict=True)]) for i in range(5))
+        order = np.lexsort((extra, key)) if len(extra) else np.argsort(key, kind="stable")
+        key = key[order]
+        same = key[1:] == key[:-1]
+        if len(extra):
+            same &= extra[order][1:] == extra[order][:-1]
+        hit = shared[order] > 0
+        hit[1:] |= same
+        hit[:-1] |= same
+        rows.append(row[order][hit])
+        places.append(pos[order][hit])
+    row, pos = np.concatenate(rows), np.concatenate(places)
+    order = np.lexsort((pos, tags[row], docs[row]))
+    d, t, pos = docs[row][order], tags[row][order], pos[order]
+    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])))) if len(d) else np.zeros(0, np.int64)
+    packed = [pack_positions(x) for x in np.split(pos, first[1:])] if len(d) else []
+    yield from batches_of(schema, [d[first], t[first], packed], 20_000)
+
+
+def buckets_of(spark: SparkSession) -> int:
+    """As many buckets of the key space as the session shuffles into."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def find_repeats(packed: DataFrame, buckets: int) -> DataFrame:
+    """(doc, tag, at): an array of packed positions whose key occurs more than once anywhere, for each document that has any."""
+    found = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(repeated_rows, FOUND)
+    return found.groupBy("doc", "tag").agg(F.collect_list("at").alias("at"))
 
 
 #: Stands for a null doc_id while rows are joined.

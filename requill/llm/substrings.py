@@ -4,7 +4,7 @@ A window of ``window`` words is split as period + anchor - 1. Anchors are
 hashed only at word positions whose remainder modulo the period lies in a
 difference cover: for any two occurrences of a window some offset below the
 period puts both on the cover, so they share an aligned anchor. Windows around
-anchors that repeat are then extended to full windows, whose 128-bit hashes
+anchors that repeat are then extended to full windows, whose 96-bit hashes
 decide.
 """
 
@@ -16,9 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from requill.llm.common import NO_ID, REPEATS, LocalRepeats, WordHashes, find_repeats, identified, offsets, window_hashes, word_chunks
+from requill.llm.common import NO_ID, PACKED, LocalRepeats, WordHashes, buckets_of, find_repeats, identified, offsets, unpack_positions, window_hashes, word_chunks
 
 #: Perfect difference sets by period. Every difference modulo the period occurs among their members.
 COVERS = {1: (0,), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
@@ -36,13 +35,13 @@ def _starts_of_documents(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarr
     return off, row, np.arange(off[-1]) - off[row]
 
 
-def anchors(window: int):
+def anchors(window: int, buckets: int):
     period = period_for(window)
     length = window - period + 1
     on_cover = np.isin(np.arange(period), COVERS[period])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, local = WordHashes(), LocalRepeats()
+        hashes, local = WordHashes(), LocalRepeats(buckets)
         for cols, words in word_chunks(batches, bytes.split, ("doc", "tag")):
             off, row, pos = _starts_of_documents(words)
             h = hashes.of([w for doc in words for w in doc])
@@ -51,34 +50,34 @@ def anchors(window: int):
             size = np.diff(off)[row]
             keep = on_cover[pos % period] & (size >= window) & (pos + length <= size)
             doc, tag = np.array(cols["doc"], np.int64), np.array(cols["tag"], np.int32)
-            yield from local.add(keys[keep], np.zeros(int(keep.sum()), np.uint64), doc[row[keep]], tag[row[keep]], pos[keep].astype(np.int32))
+            yield from local.add(keys[keep], None, doc, tag, row[keep], pos[keep].astype(np.int32))
         yield from local.flush()
 
     return run
 
 
-def full_windows(window: int):
+def full_windows(window: int, buckets: int):
     """Hashes of the windows that hold a repeated anchor; ``at`` lists these anchors."""
     period = period_for(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, local = WordHashes(), LocalRepeats()
+        hashes, local = WordHashes(), LocalRepeats(buckets)
         for batch in batches:
             some = batch.filter(pa.compute.is_valid(batch.column("at")))
             for cols, words in word_chunks(iter([some]), bytes.split, ("doc", "tag", "at")):
                 off = offsets(words)
                 h = hashes.of([w for doc in words for w in doc])
-                k1, k2 = window_hashes(h, window, 1), window_hashes(h, window, 2)
+                key, extra = window_hashes(h, window, 1), (window_hashes(h, window, 2) >> np.uint64(32)).astype(np.uint32)
                 step = np.zeros(len(h) + 1, np.int32)
                 for i, at in enumerate(cols["at"]):
-                    at = np.unique(np.array(at, np.int64))
+                    at = unpack_positions(at)
                     last = len(words[i]) - window
                     np.add.at(step, off[i] + np.maximum(at - period + 1, 0), 1)
                     np.add.at(step, off[i] + np.minimum(at, last) + 1, -1)
                 start = np.flatnonzero(np.cumsum(step)[:-1] > 0)
                 row = np.searchsorted(off, start, "right") - 1
                 doc, tag = np.array(cols["doc"], np.int64), np.array(cols["tag"], np.int32)
-                yield from local.add(k1[start], k2[start], doc[row], tag[row], (start - off[row]).astype(np.int32))
+                yield from local.add(key[start], extra[start], doc, tag, row, (start - off[row]).astype(np.int32))
         yield from local.flush()
 
     return run
@@ -97,10 +96,9 @@ def remover(window: int, with_text: bool):
             for i in range(batch.num_rows):
                 words = (text[i].as_py() or b"").split()
                 n = len(words)
-                starts = at[i].values if at[i].is_valid else None
-                if starts is not None and len(starts):
+                if at[i].is_valid:
                     step = np.zeros(n + 1, np.int32)
-                    s = np.unique(starts.to_numpy())
+                    s = unpack_positions(at[i].as_py())
                     step[s] += 1
                     np.add.at(step, s + window, -1)
                     gone = np.cumsum(step)[:n] > 0
@@ -128,14 +126,15 @@ def remove_repeats(documents: DataFrame, window: int = 35, with_text: bool = Fal
 
     The text is shuffled once, by document, and that exchange is read twice.
     Keys are pre-aggregated in each map task, so that a passage in a third of
-    all documents sends one row a task, and repeats are found in a sorted
-    stream that holds one row.
+    all documents sends one row a task. Keys are dealt to as many buckets as the
+    session shuffles into; a bucket is held packed, about 15 bytes a key, and
+    sorted by ranges.
     """
     docs = identified(documents)
     key = ["doc", "tag"]
-    collected = lambda found: found.groupBy(*key).agg(F.collect_list("pos").alias("at"))  # noqa: E731  no more than a text's words
-    near = collected(find_repeats(docs.mapInArrow(anchors(window), REPEATS)))
-    windows = docs.join(near.hint("merge"), key, "left").mapInArrow(full_windows(window), REPEATS)
-    found = collected(find_repeats(windows))
+    n = buckets_of(documents.sparkSession)
+    near = find_repeats(docs.mapInArrow(anchors(window, n), PACKED), n)
+    windows = docs.join(near.hint("merge"), key, "left").mapInArrow(full_windows(window, n), PACKED)
+    found = find_repeats(windows, n)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     return docs.join(found.hint("merge"), key, "left").mapInArrow(remover(window, with_text), schema)
