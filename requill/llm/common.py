@@ -244,18 +244,21 @@ def pack_positions(pos: np.ndarray) -> bytes:
     return b"2" + gaps.astype(np.uint16).tobytes() if not len(gaps) or gaps.max() < 1 << 16 else b"4" + gaps.astype(np.uint32).tobytes()
 
 
-def unpack_positions(packed: list[bytes]) -> np.ndarray:
-    """Distinct positions of several packed lists."""
-    parts = [np.cumsum(np.frombuffer(p, np.uint16 if p[:1] == b"2" else np.uint32, offset=1).astype(np.int64)) for p in packed]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+def unpack_positions(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint16 if packed[:1] == b"2" else np.uint32, offset=1).astype(np.int64))
 
 
-FOUND = "doc long, tag int, at binary"
+def by_document(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows sorted by document and position, and where each document begins."""
+    order = np.lexsort((pos, tag, doc))
+    doc, tag, pos = doc[order], tag[order], pos[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    return doc, tag, pos, np.flatnonzero(new)
 
 
-def repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From one bucket's packed rows: for each document (doc, tag) the positions whose key occurs more than once."""
-    schema = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.binary())])
+def repeated_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """From one bucket's packed rows those whose key occurs more than once, packed for buckets of documents."""
     parts, docs, tags, n_docs = [], [], [], 0
     known: list[tuple] = []
     for batch in batches:
@@ -292,11 +295,39 @@ def repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows.append(row[order][hit])
         places.append(pos[order][hit])
     row, pos = np.concatenate(rows), np.concatenate(places)
-    order = np.lexsort((pos, tags[row], docs[row]))
-    d, t, pos = docs[row][order], tags[row][order], pos[order]
-    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])))) if len(d) else np.zeros(0, np.int64)
-    packed = [pack_positions(x) for x in np.split(pos, first[1:])] if len(d) else []
-    yield from batches_of(schema, [d[first], t[first], packed], 20_000)
+    doc, tag = docs[row], tags[row]
+    spread = bucket_of(mix(doc.view(U64) + U64(1)), buckets)
+    order = np.argsort(spread, kind="stable")
+    limits = np.searchsorted(spread[order], np.arange(buckets + 1))
+    out: tuple[list, list] = ([], [])
+    for b, (i, j) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)):
+        if i < j:
+            d, t, p, first = by_document(doc[order[i:j]], tag[order[i:j]], pos[order[i:j]])
+            gaps = np.diff(p, prepend=0).astype(np.int32)
+            gaps[first] = p[first]
+            head = np.array([len(first), len(p)], np.int32).tobytes()
+            out[0].append(b)
+            out[1].append(head + planes(np.diff(d[first], prepend=0)) + planes(t[first]) + planes(np.diff(first, append=len(p)).astype(np.int32)) + planes(gaps))
+    yield from batches_of(pa.schema([("bucket", pa.int32()), ("rows", pa.binary())]), list(out), 2000)
+
+
+def merged_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a bucket: (doc, tag, its packed positions)."""
+    parts: list[tuple] = []
+    for batch in batches:
+        for value in batch.column(batch.schema.names.index("rows")).to_pylist():
+            n, total = np.frombuffer(value[:8], np.int32).tolist()
+            read = Reader(value[8:])
+            doc, tag, count, gaps = np.cumsum(read.take(n, np.int64)), read.take(n, np.int32), read.take(n, np.int32), read.take(total, np.int32)
+            sums = np.cumsum(gaps.astype(np.int64))
+            first = np.cumsum(count) - count
+            pos = sums - np.repeat(np.concatenate(([0], sums))[first], count)
+            parts.append((np.repeat(doc, count), np.repeat(tag, count), pos.astype(np.int32)))
+    if not parts:
+        return
+    doc, tag, pos, first = by_document(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    packed = [pack_positions(x) for x in np.split(pos, first[1:])]
+    yield from batches_of(pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.binary())]), [doc[first], tag[first], packed], 20_000)
 
 
 def buckets_of(spark: SparkSession) -> int:
@@ -305,9 +336,9 @@ def buckets_of(spark: SparkSession) -> int:
 
 
 def find_repeats(packed: DataFrame, buckets: int) -> DataFrame:
-    """(doc, tag, at): an array of packed positions whose key occurs more than once anywhere, for each document that has any."""
-    found = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(repeated_rows, FOUND)
-    return found.groupBy("doc", "tag").agg(F.collect_list("at").alias("at"))
+    """(doc, tag, at): for each document that has any, the packed positions whose key occurs more than once anywhere."""
+    found = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda rows: repeated_rows(rows, buckets), PACKED)
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(merged_positions, "doc long, tag int, at binary")
 
 
 #: Stands for a null doc_id while rows are joined.
