@@ -19,8 +19,10 @@ def components(edges: DataFrame) -> DataFrame:
     with itself are fine; no edges give no rows.
     """
     ids = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
-    nodes = ids.where("a = b").select(F.col("a").alias("node")).distinct()
-    current, state = cut(ids.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    # Cut here, as both the loop and the result read the links.
+    ids = cut(ids.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    nodes = ids.where("a = b").select(F.col("a").alias("node"))
+    current, state = ids.where("a <> b"), None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
