@@ -1,0 +1 @@
+"""No streaming operators: the workbench works on finished tables only."""
