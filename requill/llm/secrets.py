@@ -89,7 +89,7 @@ def let(value: Column, use) -> Column:
 
 
 def _battery(value: Column, encoding: Column) -> Column:
-    """p-value of "random in this encoding" for a string: the smallest of three tests, times three."""
+    """p-value of "random in this encoding" for a string: the smallest of three tests, allowing for their number."""
     alphabet = F.element_at(F.create_map(*(F.lit(x) for pair in ALPHABETS.items() for x in pair)), encoding)
     plain = F.when(encoding == "hex", F.lower(value)).otherwise(F.translate(value, "-_=", "+/"))
     total = lambda array, f: F.aggregate(array, F.lit(0.0), lambda a, x: a + f(x))
@@ -125,7 +125,8 @@ def _battery(value: Column, encoding: Column) -> Column:
         return F.struct(z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"))
 
     def combined(z: Column) -> Column:
-        return F.least(F.lit(1.0), 3 * F.least(_tail(z["chi"]), 2 * _tail(z["runs"]), 2 * _tail(z["serial"])))
+        least = F.least(F.lit(1.0), _tail(z["chi"]), 2 * _tail(z["runs"]), 2 * _tail(z["serial"]))
+        return 1 - F.pow(1 - least, F.lit(3.0))
 
     step = F.struct(plain.alias("plain"), alphabet.alias("alphabet"))
     for use in (coded, counted, measured, scored):
@@ -157,9 +158,9 @@ def thresholds(tests: DataFrame, level: float) -> dict[tuple[str, int], float]:
 
     Random strings have uniform p-values, others pile up near 0. Those above
     one half tell how many random strings there are; what a threshold lets
-    through beyond their share is expected to be false. The lowest threshold
-    whose expected share of false ones is at most ``level`` holds; a class
-    without one finds nothing. The counts come from all candidates; at most
+    through beyond their share, and beyond two standard errors of their count,
+    is expected to be false. The lowest threshold whose expected share of false
+    ones is at most ``level`` holds. The counts come from all candidates; at most
     encodings times classes times BINS of them reach the driver.
     """
     one = tests.select(F.explode("tests").alias("t"))
@@ -172,7 +173,7 @@ def thresholds(tests: DataFrame, level: float) -> dict[tuple[str, int], float]:
         random = 2 * sum(table[BINS // 2 :])
         for low in range(1, BINS // 2 + 1):
             passed = sum(table[low:])
-            if passed and max(0.0, passed - random * (1 - low / BINS)) <= level * passed:
+            if passed and passed - random * (1 - low / BINS) - 2 * passed**0.5 <= level * passed:
                 found[key] = low / BINS
                 break
     return found
