@@ -18,14 +18,17 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from requill.llm.common import texts
 
-#: Pieces, and fragments, that a worker remembers before it starts afresh.
-CACHE_PIECES = 300_000
+#: Pieces and fragments that a worker remembers before it starts afresh.
+CACHE_PIECES, CACHE_FRAGMENTS = 250_000, 100_000
+#: Ids that a worker gathers before it gives rows out.
+OUT_IDS = 500_000
 #: The form of the files that the fast way follows.
 SPACES = r"\s+"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -79,7 +82,7 @@ class ForcedBoundaryBPE:
                 part = tuple(symbols[start:i])
                 known = self.fragments.get(part)
                 if known is None:
-                    if len(self.fragments) >= CACHE_PIECES:
+                    if len(self.fragments) >= CACHE_FRAGMENTS:
                         self.fragments.clear()
                     known = self.fragments[part] = self.merged(list(part))
                 ids += known
@@ -180,25 +183,33 @@ class Coder:
         return sum(counts), " ".join(filter(None, ids)), " ".join(filter(None, decoded))
 
 
-def _ids(joined: str) -> list[int]:
-    return [int(x) for x in joined.split()]
-
-
 def coder(path: str, with_ids: bool):
     schema = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(schema + ([("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if with_ids else []))
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        arrays = [pa.array(c, f.type) for c, f in zip(columns[:4], schema, strict=False)]
+        if with_ids:
+            ends = np.cumsum([0, *map(len, columns[4])], dtype=np.int32)
+            arrays += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[4]))), pa.array(columns[5], pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Coder(path)
         for batch in batches:
-            out = [[] for _ in schema]
+            rows, gathered = [], 0
             text = batch.column(1)
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 n, ids, decoded = own.code(text[i].as_py() or "")
                 row = (doc, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                for column, value in zip(out, row + ((_ids(ids), decoded) if with_ids else ()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                rows.append((*row, np.array(ids.split(), np.int32), decoded) if with_ids else row)
+                gathered += n
+                if gathered >= OUT_IDS:
+                    yield packed(rows)
+                    rows, gathered = [], 0
+            if rows:
+                yield packed(rows)
 
     return run
 
