@@ -2,10 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from requill.llm.common import cut
+from requill.llm.common import batches_of, cut
+
+#: Links that a task contracts at a time, and partitions of links that one such task reads.
+FOREST_LINKS, FOREST_PARTITIONS = 500_000, 16
+
+
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars (a, b), b the least id, over what blocks of links connect: no more than a link for each id and block."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def contracted() -> Iterator[pa.RecordBatch]:
+        links = np.concatenate(parts, axis=1)
+        ids, place = np.unique(links, return_inverse=True)
+        a, b = place.reshape(2, -1)
+        label = np.arange(len(ids))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, label[a], label[b])
+            np.minimum.at(new, label[b], label[a])
+            new = new[new][label]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        yield from batches_of(schema, [ids[moved], ids[label[moved]]])
+
+    parts: list[np.ndarray] = []
+    rows = 0
+    for batch in batches:
+        if batch.num_rows:
+            parts.append(np.stack([batch.column(i).to_numpy() for i in range(2)]))
+            rows += batch.num_rows
+        if rows >= FOREST_LINKS:
+            yield from contracted()
+            parts, rows = [], 0
+    if parts:
+        yield from contracted()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +53,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points the neighbours of an id at the least of them, first the
     larger ones, then the smaller; links become stars about the roots in a
-    number of rounds that grows with the logarithm of the longest chain. An id
+    number of rounds that grows with the logarithm of the longest chain. Before
+    that, blocks of links are contracted within tasks. An id
     with very many links is a skewed join key, which adaptive execution splits.
     Only two numbers a round reach the driver. Repeated links and links of an id
     with itself are fine; no edges give no rows.
@@ -22,7 +63,9 @@ def components(edges: DataFrame) -> DataFrame:
     # Cut here, as both the loop and the result read the links.
     ids = cut(ids.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = ids.where("a = b").select(F.col("a").alias("node"))
-    current, state = ids.where("a <> b"), None
+    links = ids.where("a <> b")
+    few = max(1, links.rdd.getNumPartitions() // FOREST_PARTITIONS)
+    current, state = cut(links.coalesce(few).mapInArrow(forests, "a long, b long").distinct()), None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

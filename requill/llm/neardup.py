@@ -88,9 +88,9 @@ EDGE = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _chained(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between neighbours, and neighbours but one, of those with equal keys; sorted input."""
-    parts = [(doc[:-d][same], doc[d:][same]) for d in (1, 2) for same in [(key[d:] == key[:-d]) & (doc[d:] != doc[:-d])]]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    """Links between neighbours of those with equal keys; sorted input."""
+    same = (key[1:] == key[:-1]) & (doc[1:] != doc[:-1])
+    return doc[:-1][same], doc[1:][same]
 
 
 def band_keys(mh: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def bander(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) from rows of ``bander`` sorted by (key, a, b); holds one batch and two rows."""
+    """Links (a, b) from rows of ``bander`` sorted by (key, a, b); holds one batch and one row."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held = None
     for batch in batches:
@@ -149,7 +149,7 @@ def linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held is not None:
             k, d = np.concatenate((held[0], k)), np.concatenate((held[1], d))
         x, y = _chained(k, d) if len(k) > 1 else (a[:0], a[:0])
-        held = k[-2:], d[-2:]
+        held = k[-1:], d[-1:]
         x, y = np.concatenate((x, a[made])), np.concatenate((y, b[made]))
         links = np.unique(np.stack((x, y), 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
         yield from batches_of(schema, [links[:, 0], links[:, 1]])
