@@ -105,6 +105,20 @@ class Pieces(dict):
         return out
 
 
+class Counts(dict):
+    """The number of ids of each piece."""
+
+    def __init__(self, coder: Coder) -> None:
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        n = self[piece] = len(self.coder.piece_ids(piece))
+        return n
+
+
 class Coder:
     """``(number of ids, ids joined by one space, decoded text)`` of a text."""
 
@@ -136,7 +150,7 @@ class Coder:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.sure: set[str] = set()
         self.odd: set[str] = set()
-        self.pieces = Pieces(self)
+        self.pieces, self.counts = Pieces(self), Counts(self)
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
         symbols = [self.bytes[b] for b in piece.encode()]
@@ -166,8 +180,18 @@ class Coder:
             self.sure.add(char)
         return True
 
+    def follows(self, text: str) -> bool:
+        return self.followed and (text.isascii() or self.familiar(text))
+
+    def count(self, text: str) -> int:
+        """Just the number of ids."""
+        if not self.follows(text):
+            return len(self.library.encode(text, add_special_tokens=False).ids)
+        parts = self.split_special.split(text) if self.split_special else [text]
+        return sum(1 if p in self.special else sum(map(self.counts.__getitem__, self.find(self.normalised(p)))) for p in parts)
+
     def code(self, text: str) -> tuple[int, str, str]:
-        if not self.followed or not text.isascii() and not self.familiar(text):
+        if not self.follows(text):
             ids = self.library.encode(text, add_special_tokens=False).ids
             return len(ids), " ".join(map(str, ids)), self.library.decode(ids, skip_special_tokens=False)
         found: list[tuple[int, str, str]] = []

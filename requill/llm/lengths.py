@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from requill.llm.bpe import Coder
-from requill.llm.common import texts
+from requill.llm.common import cut, texts
 
 #: Neighbouring lengths are summed in strips of this width, so that no window holds the whole histogram.
 STRIP = 1024
@@ -22,7 +22,7 @@ def token_lengths(documents: DataFrame, vocabulary: str) -> DataFrame:
         coder = Coder(vocabulary)
         for batch in batches:
             text = batch.column(1)
-            n = [coder.code(text[i].as_py() or "")[0] for i in range(batch.num_rows)]
+            n = [coder.count(text[i].as_py() or "") for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return texts(documents).mapInArrow(run, "doc_id long, n_tokens long")
@@ -39,7 +39,8 @@ def length_histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     (pre-aggregated before the shuffle), and sums run over strips of lengths.
     """
     n = F.coalesce(F.col(length).cast("long"), F.lit(0))
-    histogram = lengths.select(n.alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("strip", F.floor(F.col("n_tokens") / STRIP))
+    # Strips and lengths both read the histogram, which is small; the texts are encoded once.
+    histogram = cut(lengths.select(n.alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))).withColumn("strip", F.floor(F.col("n_tokens") / STRIP))
     strips = histogram.groupBy("strip").agg(F.sum("n_docs").alias("strip_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("strip_tokens"))
     # All strips together are the longest length divided by STRIP: a handful of rows for one window.
     above = Window.partitionBy(F.lit(0)).orderBy(F.desc("strip")).rowsBetween(Window.unboundedPreceding, -1)

@@ -244,12 +244,13 @@ def test_encoding_equals_the_library(spark):
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    given = list(enumerate(text_cases()))
+    given, bpe_counter = list(enumerate(text_cases())), bpe.Coder(path)
     made = {r.doc_id: r for r in bpe.encode_decode(clashing(spark.createDataFrame(given, DOCS)), path, with_ids=True).collect()}
     for i, text in given:
         ids = library.encode(text or "", add_special_tokens=False).ids
         decoded = library.decode(ids, skip_special_tokens=False)
         assert (made[i].n_tokens, made[i].ids, made[i].decoded) == (len(ids), ids, decoded), text
+        assert bpe_counter.count(text or "") == len(ids)
         assert made[i].ids_sha256 == brute.sha(" ".join(map(str, ids))) and made[i].decoded_sha256 == brute.sha(decoded)
     assert bpe.encode_decode(spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], DOCS), path).count() == 3
 
