@@ -3,7 +3,9 @@
 Two small collections of m pairs of minhashes are computed; every pair of one
 member from each makes a table key, so 4m minhashes serve m squared tables.
 Documents that share a key and agree in enough minhashes form candidate
-clusters; within a cluster every pair of sets is compared exactly, in blocks.
+clusters, whose links are then found exactly, on full sets: first within blocks
+of members and against a few pivots, which usually leaves one component; then
+between the members outside a cluster's largest component and all of its members.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from requill.llm.graph import components
 MISS = 1e-5
 #: Members of a candidate cluster that are compared as one block.
 BLOCK = 128
+#: About so many members of a larger cluster are compared with all of its blocks.
+PIVOTS = 8
 #: Banding keys that a map task gathers before it links equal ones among them.
 LOCAL_KEYS = 1_500_000
 NONE = -(2**63)
@@ -178,7 +182,7 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
 
 
 def verifier(shingle: int, percent: int):
-    """Of each group of texts the links of its exact similarity graph, as stars."""
+    """Of each group of texts the exact links between its left and its right rows, as stars; a row may be both."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +190,9 @@ def verifier(shingle: int, percent: int):
         found: tuple[list, list] = ([], [])
         for group in grouped(batches, ["root", "p", "q"]):
             doc = group.column("doc_id").to_numpy()
-            block = group.column("block").to_numpy()
-            p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
             text = group.column("text").cast(pa.binary())
             sets = shingle_sets([lower_words(text[i].as_py() or b"") for i in range(len(doc))], hashes, shingle)
-            left = np.flatnonzero(block == p)
-            right = np.flatnonzero(block == q)
+            left, right = (np.flatnonzero(group.column(side).to_numpy(zero_copy_only=False)) for side in ("is_left", "is_right"))
             if not len(left) or not len(right):
                 continue
             size = np.array([len(s) for s in sets], np.float64)
@@ -218,6 +219,46 @@ def verifier(shingle: int, percent: int):
     return run
 
 
+def _confirmed(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever the exact similarity graph of each cluster (node, root) connects.
+
+    A cluster of up to BLOCK members is one block, compared whole. Larger ones
+    are compared within blocks and with their pivots, which takes a number of
+    rows linear in their size. Two members of one component found so need no
+    further comparison: only members outside the largest component meet all
+    members, again in blocks. No cluster needs that if its pivots link it.
+    """
+
+    def compared(placed: DataFrame) -> DataFrame:
+        rows = docs.join(placed, docs["doc_id"] == placed["node"]).select("root", "p", "q", "is_left", "is_right", "doc_id", "text")
+        dealt = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
+        return dealt.mapInArrow(verifier(shingle, percent), "a long, b long")
+
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    blocks_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
+    members = clusters.join(sizes, "root").withColumn("blocks", blocks_of("n")).withColumn("block", F.pmod(F.hash("node"), "blocks"))
+    home = members.select("root", F.col("block").alias("p"), zero.alias("q"), yes.alias("is_left"), yes.alias("is_right"), "node")
+    pivots = members.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("node"), "n") < PIVOTS))
+    pivots = pivots.withColumn("p", F.explode(F.sequence(zero, F.col("blocks") - 1))).where("p <> block")
+    first = cut(compared(home.unionByName(pivots.select("root", "p", zero.alias("q"), no.alias("is_left"), yes.alias("is_right"), "node"))))
+    large = cut(members.where("blocks > 1").select("root", "node", "n", "blocks"))
+    if large.isEmpty():
+        return first
+    near = components(first.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
+    own = large.join(near.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = own.groupBy("root", "part").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("root").agg(F.max(F.struct("size", "part")).alias("most"))
+    own = own.join(largest, "root").where(F.col("most.size") < F.col("n")).withColumn("rest", F.col("n") - F.col("most.size"))
+    # Salted hashes: members of one block above fall into different ones here.
+    own = own.withColumn("rows", blocks_of("rest")).withColumn("at", F.xxhash64("node", F.lit(1)))
+    left = own.where("part <> most.part").withColumn("q", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    left = left.select("root", F.pmod("at", "rows").cast("int").alias("p"), "q", yes.alias("is_left"), no.alias("is_right"), "node")
+    right = own.withColumn("p", F.explode(F.sequence(zero, F.col("rows") - 1)))
+    right = right.select("root", "p", F.pmod("at", "blocks").cast("int").alias("q"), no.alias("is_left"), yes.alias("is_right"), "node")
+    return first.unionByName(compared(left.unionByName(right)))
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets are similar enough.
 
@@ -234,10 +275,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     Equal sets are one class from the start (a pre-aggregated group-by), so
     exact copies never meet. A similar pair shares a key but for a chance of
     MISS. Tasks link their own keys first and send one row a key; members of a
-    key are chained, never paired. Clusters are only candidates: all pairs of
-    their sets are compared exactly, in blocks of about BLOCK members, which are
-    spread over tasks; this one step grows with the square of a single cluster
-    of different texts, and emits no more than a star for each two blocks.
+    key are chained, never paired. Clusters are only candidates; ``_confirmed``
+    compares full sets, in blocks that are spread over tasks. What it compares
+    grows with a cluster's size times the number of its members outside its
+    largest component, and it emits no more than a star for each two blocks.
     """
     similarity = percent / 100
     m = collection_size(similarity)
@@ -250,16 +291,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     agree = F.size(F.filter(F.zip_with("mh_a", "mh_b", lambda x, y: x == y), lambda e: e)) / F.lit(4.0 * m)
     likely = similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / (4 * m))
     candidates = links.join(own("a"), "a").join(own("b"), "b").where(agree >= likely).select("a", "b")
-    clusters = components(candidates)
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = clusters.join(sizes, "root").select("root", "node", blocks.alias("blocks"), F.pmod(F.hash("node"), blocks).alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = docs.join(members, docs["doc_id"] == members["node"]).select("root", "doc_id", "text", "block", other.alias("other"))
-    placed = placed.select("root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "text")
-    order = ["root", "p", "q"]
-    verified = placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(verifier(shingle, percent), "a long, b long")
-    found = components(verified)
+    found = components(_confirmed(docs, components(candidates), shingle, percent))
     merged = classes.select("s1", "s2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
     rows = sketches.select("doc_id", "n_shingles", "s1", "s2").join(merged.hint("merge"), ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

@@ -111,7 +111,8 @@ def test_near_duplicates_match_brute_force(docs, rows, size, percent):
     assert collected(made, "doc_id", "n_shingles", "component_id", "kept") == Counter((i, n, c, i == c) for i, (n, c) in expected.items())
 
 
-def test_near_duplicates_in_many_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [0, 2, 8])
+def test_near_duplicates_in_many_blocks(spark, monkeypatch, pivots):
     """A chain of copies, each a little further on, in blocks so small that links cross them."""
     rng = random.Random(2)
     words = [f"w{rng.randrange(10**6)}" for _ in range(160)]
@@ -121,10 +122,27 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
         words[(step * 7 + 3) % 160] = f"m{step}"
         chain.append((step, " ".join(words)))
     monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
     made = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(chain, DOCS), 3, 85).collect()}
     assert made == {i: c for i, (_, c) in brute.near(chain, 3, 85).items()}
 
 
+def test_near_copies_of_one_text_need_few_rows(spark, monkeypatch):
+    """A large group that its pivots link, and texts near enough to be candidates that few or none of them link to."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    given = []
+    for i in range(150):
+        edited = list(words)
+        for _ in range(1 if i < 130 else 5 if i < 140 else 7):
+            edited[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        given.append((i, " ".join(edited)))
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    made = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(given, DOCS), 3, 85).collect()}
+    expected = {i: c for i, (_, c) in brute.near(given, 3, 85).items()}
+    assert made == expected and len(set(expected.values())) > 1
+
+
 def test_near_duplicates_without_ids(spark):
     given = [(7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (9, "A b c D"), (8, None), (None, None)]
     made = neardup.near_duplicates(spark.createDataFrame(given, DOCS), 3, 85)
