@@ -28,8 +28,6 @@ MISS = 1e-5
 BLOCK = 128
 #: About so many members of a larger cluster are compared with all of its blocks.
 PIVOTS = 8
-#: Banding keys that a map task gathers before it links equal ones among them.
-LOCAL_KEYS = 1_500_000
 NONE = -(2**63)
 
 
@@ -38,6 +36,16 @@ def collection_size(similarity: float) -> int:
     return max(2, math.ceil(math.log(MISS / 2) / math.log(1 - similarity**2)))
 
 
+def least_agreement(similarity: float, n: int) -> int:
+    """The most of n minhashes in which a pair just similar enough agrees but for a chance of MISS."""
+    fewer = 0.0
+    for k in range(n):
+        fewer += math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
+        if fewer > MISS:
+            return k
+    return n
+
+
 def lower_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -89,12 +97,7 @@ def sketcher(shingle: int, n: int):
 
 
 EDGE = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-
-
-def _chained(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between neighbours of those with equal keys; sorted input."""
-    same = (key[1:] == key[:-1]) & (doc[1:] != doc[:-1])
-    return doc[:-1][same], doc[1:][same]
+KEYED = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
 
 
 def band_keys(mh: np.ndarray) -> np.ndarray:
@@ -106,57 +109,101 @@ def band_keys(mh: np.ndarray) -> np.ndarray:
 
 
 def bander(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc, NONE), one for each key a task holds, and links (hash, a, b) between those that share one within it."""
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        mh = np.concatenate([p[1] for p in parts])
-        keys = band_keys(mh)
-        doc = np.repeat(np.concatenate([p[0] for p in parts]), keys.shape[1])
-        keys = keys.reshape(-1)
-        order = np.lexsort((doc, keys))
-        keys, doc = keys[order], doc[order]
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        yield from batches_of(EDGE, [signed(keys[first]), doc[first], np.full(int(first.sum()), NONE)])
-        a, b = _chained(keys, doc)
-        if len(a):
-            links = np.unique(np.stack((a, b), 1), axis=0)
-            k = mix(links[:, 0].astype(U64) * U64(0xC2B2AE3D27D4EB4F) + links[:, 1].astype(U64))
-            yield from batches_of(EDGE, [signed(k), links[:, 0], links[:, 1]])
-
-    parts: list[tuple] = []
-    rows = 0
+    """Rows (key, doc), one for each key of a document."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        flat = batch.column(1)
-        mh = flat.flatten().to_numpy().view(np.uint32).reshape(batch.num_rows, -1)
-        parts.append((batch.column(0).to_numpy(), mh))
-        rows += batch.num_rows * (mh.shape[1] // 4) ** 2
-        if rows >= LOCAL_KEYS:
-            yield from flush()
-            parts, rows = [], 0
-    if parts:
-        yield from flush()
+        if batch.num_rows:
+            keys = band_keys(batch.column(1).flatten().to_numpy().view(np.uint32).reshape(batch.num_rows, -1))
+            doc = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
+            yield from batches_of(KEYED, [signed(keys.reshape(-1)), doc])
 
 
 def linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) from rows of ``bander`` sorted by (key, a, b); holds one batch and one row."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    held = None
+    """From rows of ``bander`` sorted by (key, doc): a link (0, a, b) for a key of two, and rows (key, doc, NONE) of a key with more.
+
+    Holds one batch and four rows.
+    """
+    k, d, done = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def settled(end: int) -> Iterator[pa.RecordBatch]:
+        many, now = np.zeros(len(k), bool), np.zeros(len(k), bool)
+        now[done:end] = True
+        if len(k) > 2:
+            three = k[2:] == k[:-2]
+            for start in range(3):
+                many[start : len(k) - 2 + start] |= three
+        second = np.flatnonzero((now & ~many)[1:] & (k[1:] == k[:-1]) & (d[1:] != d[:-1])) + 1
+        links = np.unique(np.stack((d[second - 1], d[second]), 1), axis=0)
+        yield from batches_of(EDGE, [np.zeros(len(links), np.int64), links[:, 0], links[:, 1]])
+        many &= now
+        yield from batches_of(EDGE, [k[many], d[many], np.full(int(many.sum()), NONE)])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, a, b = (batch.column(i).to_numpy() for i in range(3))
-        made = b != NONE
-        k, d = key[~made], a[~made]
-        if held is not None:
-            k, d = np.concatenate((held[0], k)), np.concatenate((held[1], d))
-        x, y = _chained(k, d) if len(k) > 1 else (a[:0], a[:0])
-        held = k[-1:], d[-1:]
-        x, y = np.concatenate((x, a[made])), np.concatenate((y, b[made]))
-        links = np.unique(np.stack((x, y), 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-        yield from batches_of(schema, [links[:, 0], links[:, 1]])
+        k, d = np.concatenate((k, batch.column(0).to_numpy())), np.concatenate((d, batch.column(1).to_numpy()))
+        # Whether a row is one of three is known two rows later.
+        end = max(len(k) - 2, done)
+        yield from settled(end)
+        held = max(len(k) - 4, 0)
+        k, d, done = k[held:], d[held:], end - held
+    yield from settled(len(k))
+
+
+def shortener(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, the last byte of each of its minhashes): documents agree in no fewer bytes than minhashes."""
+    schema = pa.schema([("doc", pa.int64()), ("short", pa.binary())])
+    for batch in batches:
+        if batch.num_rows:
+            short = batch.column(1).flatten().to_numpy().view(np.uint32).astype(np.uint8).reshape(batch.num_rows, -1)
+            yield from batches_of(schema, [batch.column(0).to_numpy(), [x.tobytes() for x in short]])
+
+
+def regrouper(least: int):
+    """Links (a, b) that connect whatever members of a key agree in ``least`` minhashes or more.
+
+    Runs of neighbours that agree are chained first. Then every pair that isn't
+    connected yet is compared, a block of members with all others at a time.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        rows = 0
+        for group in grouped(batches, ["key"]):
+            doc = group.column("doc").to_numpy()
+            short = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(len(doc), -1)
+            near = (short[1:] == short[:-1]).sum(1) >= least
+            label = np.concatenate(([0], np.cumsum(~near)))
+            links = [np.stack((doc[:-1][near], doc[1:][near]), 1)]
+            columns = np.ascontiguousarray(short.T)
+            outside = np.flatnonzero(label != np.bincount(label).argmax())
+            for start in range(0, len(outside), BLOCK):
+                left = outside[start : start + BLOCK]
+                agree = np.zeros((len(left), len(doc)), np.uint16)
+                for column in columns:
+                    agree += column[left][:, None] == column[None, :]
+                i, j = np.nonzero((agree >= least) & (label[left][:, None] != label[None, :]))
+                if not len(i):
+                    continue
+                # Each pair of runs once; they are one from then on.
+                _, first = np.unique(np.stack((label[left[i]], label[j]), 1), axis=0, return_index=True)
+                for x, y in zip(left[i[first]], j[first], strict=True):
+                    if label[x] != label[y]:
+                        label[label == label[y]] = label[x]
+                        links.append(np.array([[doc[x], doc[y]]]))
+                if (label == label[0]).all():
+                    break
+            found += links
+            rows += sum(map(len, links))
+            if rows > 200_000:
+                out = np.unique(np.concatenate(found), axis=0)
+                yield from batches_of(schema, [out[:, 0], out[:, 1]])
+                found, rows = [], 0
+        if found:
+            out = np.unique(np.concatenate(found), axis=0)
+            yield from batches_of(schema, [out[:, 0], out[:, 1]])
+
+    return run
 
 
 def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -274,8 +321,11 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
 
     Equal sets are one class from the start (a pre-aggregated group-by), so
     exact copies never meet. A similar pair shares a key but for a chance of
-    MISS. Tasks link their own keys first and send one row a key; members of a
-    key are chained, never paired. Clusters are only candidates; ``_confirmed``
+    MISS, and agrees in enough minhashes to be compared but for another. A key
+    of two is a link; members of a larger key are compared with each other by
+    their minhashes wherever those between them agree with neither, which takes
+    a square of the members that aren't connected to the key's largest run, in
+    one task a key. Clusters are only candidates; ``_confirmed``
     compares full sets, in blocks that are spread over tasks. What it compares
     grows with a cluster's size times the number of its members outside its
     largest component, and it emits no more than a star for each two blocks.
@@ -285,13 +335,18 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     docs = texts(documents)
     sketches = cut(docs.mapInArrow(sketcher(shingle, 4 * m), "doc_id long, n_shingles long, s1 long, s2 long, mh array<int>"))
     classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("mh").alias("mh"))
-    dealt = classes.select("rep", "mh").mapInArrow(bander, "key long, a long, b long").repartition("key").sortWithinPartitions("key", "a", "b")
-    links = dealt.mapInArrow(linker, "a long, b long").distinct()
+    dealt = classes.select("rep", "mh").mapInArrow(bander, "key long, doc long").repartition("key").sortWithinPartitions("key", "doc")
+    linked = cut(dealt.mapInArrow(linker, "key long, a long, b long"))
+    links = linked.where(F.col("b") != NONE).select("a", "b").distinct()
     own = lambda side: classes.select(F.col("rep").alias(side), F.col("mh").alias(f"mh_{side}"))
-    agree = F.size(F.filter(F.zip_with("mh_a", "mh_b", lambda x, y: x == y), lambda e: e)) / F.lit(4.0 * m)
-    likely = similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / (4 * m))
-    candidates = links.join(own("a"), "a").join(own("b"), "b").where(agree >= likely).select("a", "b")
-    found = components(_confirmed(docs, components(candidates), shingle, percent))
+    agree = F.size(F.filter(F.zip_with("mh_a", "mh_b", lambda x, y: x == y), lambda e: e))
+    least = least_agreement(similarity, 4 * m)
+    pairs = links.join(own("a"), "a").join(own("b"), "b").where(agree >= least).select("a", "b")
+    short = classes.select("rep", "mh").mapInArrow(shortener, "doc long, short binary")
+    members = linked.where(F.col("b") == NONE).select("key", F.col("a").alias("doc")).join(short, "doc").select("key", "doc", "short")
+    more = members.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(regrouper(least), "a long, b long")
+    clusters = components(pairs.unionByName(more))
+    found = components(_confirmed(docs, clusters, shingle, percent))
     merged = classes.select("s1", "s2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
     rows = sketches.select("doc_id", "n_shingles", "s1", "s2").join(merged.hint("merge"), ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

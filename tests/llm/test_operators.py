@@ -143,6 +143,22 @@ def test_near_copies_of_one_text_need_few_rows(spark, monkeypatch):
     assert made == expected and len(set(expected.values())) > 1
 
 
+def test_keys_of_two_and_of_more():
+    """Batches of any size give the same links and members; any two members of a key that agree are connected."""
+    rng = np.random.default_rng(3)
+    key, doc = np.sort(rng.integers(0, 60, 150)), np.arange(150)
+    count = Counter(key.tolist())
+    for rows in (1, 2, 3, 7, 150):
+        batches = (b for i in range(0, 150, rows) for b in neardup.batches_of(neardup.KEYED, [key[i : i + rows], doc[i : i + rows]]))
+        out = [tuple(r.values()) for b in neardup.linker(batches) for r in b.to_pylist()]
+        assert sorted(r[1:] for r in out if r[2] != neardup.NONE) == [(i, i + 1) for i in range(149) if key[i] == key[i + 1] and count[key[i]] == 2]
+        assert sorted(r[:2] for r in out if r[2] == neardup.NONE) == [(k, i) for i, k in enumerate(key.tolist()) if count[k] > 2]
+    short = [bytes(8), bytes([9] * 8), bytes([9] * 4 + [0] * 4), bytes(range(20, 28))]
+    schema = neardup.pa.schema([("key", neardup.pa.int64()), ("doc", neardup.pa.int64()), ("short", neardup.pa.binary())])
+    batches = neardup.batches_of(schema, [[1] * 4, [5, 6, 7, 8], short])
+    assert {tuple(sorted(r.values())) for b in neardup.regrouper(4)(batches) for r in b.to_pylist()} == {(5, 7), (6, 7)}
+
+
 def test_near_duplicates_without_ids(spark):
     given = [(7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (9, "A b c D"), (8, None), (None, None)]
     made = neardup.near_duplicates(spark.createDataFrame(given, DOCS), 3, 85)
