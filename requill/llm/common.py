@@ -249,9 +249,12 @@ def unpack_positions(packed: bytes) -> np.ndarray:
 
 
 def by_document(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows sorted by document and position, and where each document begins."""
+    """Distinct rows sorted by document and position, and where each document begins; repeated rows list each position anew."""
     order = np.lexsort((pos, tag, doc))
     doc, tag, pos = doc[order], tag[order], pos[order]
+    distinct = np.ones(len(doc), bool)
+    distinct[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1])
+    doc, tag, pos = doc[distinct], tag[distinct], pos[distinct]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
     return doc, tag, pos, np.flatnonzero(new)

@@ -241,6 +241,15 @@ def test_similar_sizes_merge_first(spark):
 # -- 5: substrings
 
 
+def test_repeats_of_long_rows(spark):
+    """A row of several windows that occurs two or three times, also without an id, loses every word."""
+    long = [" ".join(f"{c}{i}" for i in range(200)) for c in "abc"]
+    given = [(1, long[0])] * 2 + [(None, long[1])] * 3 + [(2, long[2])] + [(3, long[2] + " more words")]
+    for parts in (1, 3):
+        made = substrings.remove_repeats(spark.createDataFrame(given, DOCS).repartition(parts))
+        assert collected(made, "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.repeats(given, 35))
+
+
 @pytest.mark.parametrize("window", [3, 8, 35])
 def test_repeats_match_brute_force(docs, rows, window):
     made = substrings.remove_repeats(clashing(docs), window, with_text=True)
