@@ -17,13 +17,15 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Candidates of the method: long runs of characters that encodings use.
-ENCODED = r"[A-Za-z0-9+/_=-]{20,}+"
+#: Candidates of the method: long runs of characters that encodings use; "=" only pads their end, so a name before it is apart.
+ENCODED = r"[A-Za-z0-9+/_-]{20,}+=*+"
 #: Alphabets by encoding, in the order of their symbols' values.
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base32 lower": "abcdefghijklmnopqrstuvwxyz234567",
+    "base36 lower": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 #: Steps of the p-value's histogram, and the width of a length class.
@@ -71,6 +73,8 @@ def encoding_of(value: Column) -> Column:
         .when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
         .when(value.rlike("^[A-Z2-7]+=*$"), "base32")
         .when(value.rlike("^[A-Z0-9]+$"), "base36")
+        .when(value.rlike("^[a-z2-7]+=*$"), "base32 lower")
+        .when(value.rlike("^[a-z0-9]+$"), "base36 lower")
         .when(value.rlike("[A-Z]") & value.rlike("[a-z]") & value.rlike("^[A-Za-z0-9+/_-]+=*$"), "base64")
     )
 

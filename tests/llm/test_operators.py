@@ -88,6 +88,20 @@ def test_randomness_battery_tells_random_from_words(spark):
     assert len([i for i in found if i < len(good)]) >= 0.85 * len(good) and len([i for i in found if i >= len(good)]) <= 0.05 * len(bad)
 
 
+def test_lower_case_and_named_strings_are_tested(spark):
+    """Lower-case base32 and base36, and values after a name and "=", with the value's place alone."""
+    rng = random.Random(6)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    alphabets = [secrets.ALPHABETS["base64"][26:62], "abcdefghijklmnopqrstuvwxyz234567", secrets.ALPHABETS["base64"][:62]]
+    values = [(before, draw(a, 40)) for before, a in (("see ", alphabets[0]), ("see ", alphabets[1]), ("session=", alphabets[2]), ("?sig=", alphabets[2]), ("a_name_of_twenty_letters=", alphabets[0])) for _ in range(20)]
+    frame = spark.createDataFrame([(i, f"{b}{v}== there") for i, (b, v) in enumerate(values)], DOCS)
+    made = {r.doc_id: r.spans for r in secrets.secret_report(frame).collect()}
+    right = [made[i] in (f"random:{len(b)}:{len(b) + 40}", f"random:{len(b)}:{len(b) + 42}") for i, (b, v) in enumerate(values)]
+    assert all(sum(right[k : k + 20]) >= 12 for k in (20, 40, 60)) and sum(right) >= 60
+    plain = spark.createDataFrame([(i, f"see {v} there") for i, (_, v) in enumerate(values[:20])], DOCS)
+    assert secrets.secret_report(plain).where("n_random > 0").count() >= 15
+
+
 def test_no_python_on_the_way(spark):
     frame = spark.createDataFrame(SECRETS, DOCS)
     for df in (secrets.secret_report(frame), secrets.redact(frame)):
