@@ -48,24 +48,9 @@ def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from contracted()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every id in ``edges`` (a, b): root is the least id reachable, the node itself included.
-
-    Each round points the neighbours of an id at the least of them, first the
-    larger ones, then the smaller; links become stars about the roots in a
-    number of rounds that grows with the logarithm of the longest chain. Before
-    that, blocks of links are contracted within tasks. An id
-    with very many links is a skewed join key, which adaptive execution splits.
-    Only two numbers a round reach the driver. Repeated links and links of an id
-    with itself are fine; no edges give no rows.
-    """
-    ids = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
-    # Cut here, as both the loop and the result read the links.
-    ids = cut(ids.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    nodes = ids.where("a = b").select(F.col("a").alias("node"))
-    links = ids.where("a <> b")
-    few = max(1, links.rdd.getNumPartitions() // FOREST_PARTITIONS)
-    current, state = cut(links.coalesce(few).mapInArrow(forests, "a long, b long").distinct()), None
+def _rounds(links: DataFrame) -> DataFrame:
+    """(node, root) for every id in ``links`` (a, b), a <> b, by alternating stars; only two numbers a round reach the driver."""
+    current, state = links, None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -78,6 +63,34 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = now.n, now.h
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    linked = stars.unionByName(roots)
-    return linked.unionByName(nodes.join(linked, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return stars.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every id in ``edges`` (a, b): root is the least id reachable, the node itself included.
+
+    Blocks of links are contracted within tasks to stars first. An id takes the
+    least of its blocks' centres; what it tells is which centres belong
+    together, so only centres go through the rounds of alternating stars, whose
+    number grows with the logarithm of the longest chain. An id has no more
+    centres than there are blocks, so no key of those rounds has many rows
+    because a component is large. Repeated links and links of an id with itself
+    are fine; no edges give no rows.
+    """
+    ids = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
+    # Cut here, as both the loop and the result read the links.
+    ids = cut(ids.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    alone = ids.where("a = b").select(F.col("a").alias("node"))
+    few = max(1, ids.rdd.getNumPartitions() // FOREST_PARTITIONS)
+    stars = cut(ids.where("a <> b").coalesce(few).mapInArrow(forests, "a long, b long"))
+    own = stars.groupBy("a").agg(F.min("b").alias("p"))
+    centres = stars.select("b").distinct()
+    between = stars.join(own, "a").where("b > p").select(F.col("b").alias("a"), F.col("p").alias("b"))
+    between = cut(between.unionByName(own.join(centres, own["a"] == centres["b"], "left_semi").select("a", F.col("p").alias("b"))).distinct())
+    linked = own.select(F.col("a").alias("node"), F.col("p")).unionByName(centres.join(own, own["a"] == centres["b"], "left_anti").select(F.col("b").alias("node"), F.col("b").alias("p")))
+    if between.isEmpty():
+        linked = linked.withColumnRenamed("p", "root")
+    else:
+        rooted = _rounds(between).select(F.col("node").alias("p"), "root")
+        linked = linked.join(rooted, "p", "left").select("node", F.coalesce("root", "p").alias("root"))
+    return linked.unionByName(alone.join(linked, "node", "left_anti").select("node", F.col("node").alias("root")))

@@ -28,6 +28,12 @@ MISS = 1e-5
 BLOCK = 128
 #: About so many members of a larger cluster are compared with all of its blocks.
 PIVOTS = 8
+#: One document in so many is a hub, and links that a task gathers before it gives them out.
+HUB, LINKS = 64, 400_000
+#: Left and right rows of one comparison of sketches.
+ROWS, COLUMNS = 2048, 1024
+#: Keys that are broadcast at most; more are joined by a shuffle.
+FEW_KEYS = 200_000
 NONE = -(2**63)
 
 
@@ -96,8 +102,9 @@ def sketcher(shingle: int, n: int):
     return run
 
 
-EDGE = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 KEYED = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
+JUDGED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
 
 def band_keys(mh: np.ndarray) -> np.ndarray:
@@ -118,35 +125,57 @@ def bander(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows of ``bander`` sorted by (key, doc): a link (0, a, b) for a key of two, and rows (key, doc, NONE) of a key with more.
+    """From rows of ``bander`` sorted by (key, doc): links (a, b) that span the members of every key.
 
-    Holds one batch and four rows.
+    About one document in HUB is a hub, by a hash of its id. Every member is
+    linked to the last hub before it, or else to the key's first member; hubs
+    too. So a document has the same few partners in all the keys that it shares
+    with a family, and no hub has many. Holds one batch, one row and the links found.
     """
-    k, d, done = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-    def settled(end: int) -> Iterator[pa.RecordBatch]:
-        many, now = np.zeros(len(k), bool), np.zeros(len(k), bool)
-        now[done:end] = True
-        if len(k) > 2:
-            three = k[2:] == k[:-2]
-            for start in range(3):
-                many[start : len(k) - 2 + start] |= three
-        second = np.flatnonzero((now & ~many)[1:] & (k[1:] == k[:-1]) & (d[1:] != d[:-1])) + 1
-        links = np.unique(np.stack((d[second - 1], d[second]), 1), axis=0)
-        yield from batches_of(EDGE, [np.zeros(len(links), np.int64), links[:, 0], links[:, 1]])
-        many &= now
-        yield from batches_of(EDGE, [k[many], d[many], np.full(int(many.sum()), NONE)])
-
+    carry: tuple[int, int] | None = None
+    found: list[np.ndarray] = []
+    rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, d = np.concatenate((k, batch.column(0).to_numpy())), np.concatenate((d, batch.column(1).to_numpy()))
-        # Whether a row is one of three is known two rows later.
-        end = max(len(k) - 2, done)
-        yield from settled(end)
-        held = max(len(k) - 4, 0)
-        k, d, done = k[held:], d[held:], end - held
-    yield from settled(len(k))
+        k, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if carry:
+            k, d = np.concatenate(([carry[0]], k)), np.concatenate(([carry[1]], d))
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        hub = new | (mix(d.view(U64) * U64(0x9E3779B97F4A7C15)) % U64(HUB) == 0)
+        last = np.maximum.accumulate(np.where(hub, np.arange(len(k)), 0))
+        i = np.flatnonzero(~new)
+        i = i[d[i] != d[last[i - 1]]]
+        found.append(np.stack((d[i], d[last[i - 1]]), 1))
+        rows += len(i)
+        carry = int(k[-1]), int(d[last[-1]])
+        if rows >= LINKS:
+            links = np.unique(np.concatenate(found), axis=0)
+            yield from batches_of(LINK, [links[:, 0], links[:, 1]])
+            found, rows = [], 0
+    if rows:
+        links = np.unique(np.concatenate(found), axis=0)
+        yield from batches_of(LINK, [links[:, 0], links[:, 1]])
+
+
+def judge(least: int):
+    """Links (a, b, mh_a, mh_b): (a, b, NONE) of those that agree in ``least`` minhashes, of others (a, b, key) for each key that both have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x, y = (batch.column(i).flatten().to_numpy().view(np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
+            good = (x == y).sum(1) >= least
+            yield from batches_of(JUDGED, [a[good], b[good], np.full(int(good.sum()), NONE)])
+            if not good.all():
+                one, two = band_keys(x[~good]), band_keys(y[~good])
+                row, column = np.nonzero(one == two)
+                yield from batches_of(JUDGED, [a[~good][row], b[~good][row], signed(one[row, column])])
+
+    return run
 
 
 def shortener(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,50 +187,31 @@ def shortener(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from batches_of(schema, [batch.column(0).to_numpy(), [x.tobytes() for x in short]])
 
 
-def regrouper(least: int):
-    """Links (a, b) that connect whatever members of a key agree in ``least`` minhashes or more.
-
-    Runs of neighbours that agree are chained first. Then every pair that isn't
-    connected yet is compared, a block of members with all others at a time.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def comparer(least: int):
+    """Of each group (part, g, p, q) links that connect every left row and right row, of different roots, that agree in ``least`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        rows = 0
-        for group in grouped(batches, ["key"]):
-            doc = group.column("doc").to_numpy()
+        for group in grouped(batches, ["part", "g", "p", "q"]):
+            doc, root = group.column("doc").to_numpy(), group.column("root").to_numpy()
             short = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(len(doc), -1)
-            near = (short[1:] == short[:-1]).sum(1) >= least
-            label = np.concatenate(([0], np.cumsum(~near)))
-            links = [np.stack((doc[:-1][near], doc[1:][near]), 1)]
-            columns = np.ascontiguousarray(short.T)
-            outside = np.flatnonzero(label != np.bincount(label).argmax())
-            for start in range(0, len(outside), BLOCK):
-                left = outside[start : start + BLOCK]
-                agree = np.zeros((len(left), len(doc)), np.uint16)
-                for column in columns:
-                    agree += column[left][:, None] == column[None, :]
-                i, j = np.nonzero((agree >= least) & (label[left][:, None] != label[None, :]))
-                if not len(i):
-                    continue
-                # Each pair of runs once; they are one from then on.
-                _, first = np.unique(np.stack((label[left[i]], label[j]), 1), axis=0, return_index=True)
-                for x, y in zip(left[i[first]], j[first], strict=True):
+            is_left = group.column("is_left").to_numpy()
+            left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+            label = np.unique(root, return_inverse=True)[1]
+            columns, links = np.ascontiguousarray(short[right].T), []
+            for start in range(0, len(left), BLOCK):
+                rows = left[start : start + BLOCK]
+                agree = np.zeros((len(rows), len(right)), np.uint8)
+                for j, column in enumerate(columns):
+                    agree += short[rows, j][:, None] == column[None, :]
+                i, j = np.nonzero((agree >= least) & (label[rows][:, None] != label[right][None, :]))
+                # Each pair of labels once; they are one from then on.
+                _, first = np.unique(np.stack((label[rows[i]], label[right[j]]), 1), axis=0, return_index=True)
+                for x, y in zip(rows[i[first]], right[j[first]], strict=True):
                     if label[x] != label[y]:
                         label[label == label[y]] = label[x]
-                        links.append(np.array([[doc[x], doc[y]]]))
-                if (label == label[0]).all():
-                    break
-            found += links
-            rows += sum(map(len, links))
-            if rows > 200_000:
-                out = np.unique(np.concatenate(found), axis=0)
-                yield from batches_of(schema, [out[:, 0], out[:, 1]])
-                found, rows = [], 0
-        if found:
-            out = np.unique(np.concatenate(found), axis=0)
-            yield from batches_of(schema, [out[:, 0], out[:, 1]])
+                        links.append((doc[x], doc[y]))
+            if links:
+                yield from batches_of(LINK, list(zip(*links, strict=True)))
 
     return run
 
@@ -306,6 +316,58 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int)
     return first.unionByName(compared(left.unionByName(right)))
 
 
+def candidates(classes: DataFrame, least: int) -> DataFrame:
+    """Clusters (node, root) that connect any two of ``classes`` (rep, mh) with a common key and ``least`` equal minhashes.
+
+    The links of ``linker`` span each key; those that agree make clusters. A
+    key whose members lie in several clusters holds a link that disagrees, so
+    such keys are known. In each of them the members outside its largest
+    cluster meet each other, and that cluster's members: these travel once a
+    cluster, not once a key. Both meet by sketches in blocks of ROWS and
+    COLUMNS, spread over tasks. That is a square of the members of a key that
+    lie outside its largest cluster, and of nothing else.
+    """
+    keys = lambda rows: rows.mapInArrow(bander, "key long, doc long")
+    dealt = keys(classes).repartition("key").sortWithinPartitions("key", "doc")
+    links = cut(dealt.mapInArrow(linker, "a long, b long").distinct())
+    own = lambda side: classes.select(F.col("rep").alias(side), F.col("mh").alias(f"mh_{side}"))
+    pairs = links.join(own("a"), "a").join(own("b"), "b").select("a", "b", "mh_a", "mh_b")
+    judged = cut(pairs.mapInArrow(judge(least), "a long, b long, key long"))
+    good = judged.where(F.col("key") == NONE).select("a", "b")
+    clusters = components(good)
+    named = lambda side: clusters.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    bad = judged.where(F.col("key") != NONE).join(named("a"), "a", "left").join(named("b"), "b", "left")
+    open_keys = cut(bad.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("key").distinct())
+    n = open_keys.count()
+    if not n:
+        return clusters
+    touched = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "rep")
+    rows = keys(classes.join(touched, "rep", "left_semi")).join(F.broadcast(open_keys) if n <= FEW_KEYS else open_keys, "key", "left_semi")
+    members = rows.join(clusters.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
+    members = cut(members)
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"))
+    outside = cut(members.join(largest, "key").where("root <> most").select("key", "doc", "root", "most"))
+    met = outside.select("most").distinct().withColumnRenamed("most", "root")
+    row = lambda part, g: (F.lit(part).alias("part"), F.col(g).alias("g"), "doc", "root")
+    left = outside.select(*row(0, "most")).distinct().unionByName(outside.select(*row(1, "key")))
+    right = members.select("doc", "root").distinct().join(met, "root", "left_semi").select(*row(0, "root")).unionByName(outside.select(*row(1, "key")))
+    both = left.withColumn("is_left", F.lit(True)).unionByName(right.withColumn("is_left", F.lit(False)))
+    both = cut(both.join(classes.mapInArrow(shortener, "doc long, short binary"), "doc"))
+    blocks = lambda is_left, rows: F.greatest(F.ceil(F.sum((F.col("is_left") == is_left).cast("long")) / rows), F.lit(1)).cast("int")
+    counts = both.groupBy("part", "g").agg(blocks(True, ROWS).alias("ps"), blocks(False, COLUMNS).alias("qs"))
+    own_block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # Where only one block stands on the other side, as nearly always, no row is sent twice.
+    dealt = both.join(counts, ["part", "g"])
+    lefts = dealt.where("is_left").withColumn("p", own_block("ps")).withColumn("q", all_blocks("qs"))
+    rights = dealt.where("NOT is_left").withColumn("q", own_block("qs")).withColumn("p", all_blocks("ps"))
+    columns = ("part", "g", "p", "q", "doc", "root", "short", "is_left")
+    group = ("part", "g", "p", "q")
+    more = lefts.select(*columns).unionByName(rights.select(*columns)).repartition(*group).sortWithinPartitions(*group).mapInArrow(comparer(least), "a long, b long")
+    return components(good.unionByName(more))
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets are similar enough.
 
@@ -321,31 +383,18 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
 
     Equal sets are one class from the start (a pre-aggregated group-by), so
     exact copies never meet. A similar pair shares a key but for a chance of
-    MISS, and agrees in enough minhashes to be compared but for another. A key
-    of two is a link; members of a larger key are compared with each other by
-    their minhashes wherever those between them agree with neither, which takes
-    a square of the members that aren't connected to the key's largest run, in
-    one task a key. Clusters are only candidates; ``_confirmed``
-    compares full sets, in blocks that are spread over tasks. What it compares
-    grows with a cluster's size times the number of its members outside its
-    largest component, and it emits no more than a star for each two blocks.
+    MISS, and agrees in enough minhashes to be compared but for another; see
+    ``candidates``. Clusters are only candidates; ``_confirmed`` compares full
+    sets, in blocks that are spread over tasks. What it compares grows with a
+    cluster's size times the number of its members outside its largest
+    component, and it emits no more than a star for each two blocks.
     """
     similarity = percent / 100
     m = collection_size(similarity)
     docs = texts(documents)
     sketches = cut(docs.mapInArrow(sketcher(shingle, 4 * m), "doc_id long, n_shingles long, s1 long, s2 long, mh array<int>"))
     classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("mh").alias("mh"))
-    dealt = classes.select("rep", "mh").mapInArrow(bander, "key long, doc long").repartition("key").sortWithinPartitions("key", "doc")
-    linked = cut(dealt.mapInArrow(linker, "key long, a long, b long"))
-    links = linked.where(F.col("b") != NONE).select("a", "b").distinct()
-    own = lambda side: classes.select(F.col("rep").alias(side), F.col("mh").alias(f"mh_{side}"))
-    agree = F.size(F.filter(F.zip_with("mh_a", "mh_b", lambda x, y: x == y), lambda e: e))
-    least = least_agreement(similarity, 4 * m)
-    pairs = links.join(own("a"), "a").join(own("b"), "b").where(agree >= least).select("a", "b")
-    short = classes.select("rep", "mh").mapInArrow(shortener, "doc long, short binary")
-    members = linked.where(F.col("b") == NONE).select("key", F.col("a").alias("doc")).join(short, "doc").select("key", "doc", "short")
-    more = members.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(regrouper(least), "a long, b long")
-    clusters = components(pairs.unionByName(more))
+    clusters = candidates(classes.select("rep", "mh"), least_agreement(similarity, 4 * m))
     found = components(_confirmed(docs, clusters, shingle, percent))
     merged = classes.select("s1", "s2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
     rows = sketches.select("doc_id", "n_shingles", "s1", "s2").join(merged.hint("merge"), ["s1", "s2"], "left")

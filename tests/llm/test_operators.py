@@ -157,20 +157,47 @@ def test_near_copies_of_one_text_need_few_rows(spark, monkeypatch):
     assert made == expected and len(set(expected.values())) > 1
 
 
-def test_keys_of_two_and_of_more():
-    """Batches of any size give the same links and members; any two members of a key that agree are connected."""
+def connected(links, ids):
+    """Each id with the least id that links connect it to."""
+    label = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_links_span_keys(monkeypatch):
+    """Batches of any size give links that connect all members of each key and nothing else, and no hub has them all."""
+    monkeypatch.setattr(neardup, "HUB", 4)
     rng = np.random.default_rng(3)
-    key, doc = np.sort(rng.integers(0, 60, 150)), np.arange(150)
-    count = Counter(key.tolist())
-    for rows in (1, 2, 3, 7, 150):
-        batches = (b for i in range(0, 150, rows) for b in neardup.batches_of(neardup.KEYED, [key[i : i + rows], doc[i : i + rows]]))
-        out = [tuple(r.values()) for b in neardup.linker(batches) for r in b.to_pylist()]
-        assert sorted(r[1:] for r in out if r[2] != neardup.NONE) == [(i, i + 1) for i in range(149) if key[i] == key[i + 1] and count[key[i]] == 2]
-        assert sorted(r[:2] for r in out if r[2] == neardup.NONE) == [(k, i) for i, k in enumerate(key.tolist()) if count[k] > 2]
-    short = [bytes(8), bytes([9] * 8), bytes([9] * 4 + [0] * 4), bytes(range(20, 28))]
-    schema = neardup.pa.schema([("key", neardup.pa.int64()), ("doc", neardup.pa.int64()), ("short", neardup.pa.binary())])
-    batches = neardup.batches_of(schema, [[1] * 4, [5, 6, 7, 8], short])
-    assert {tuple(sorted(r.values())) for b in neardup.regrouper(4)(batches) for r in b.to_pylist()} == {(5, 7), (6, 7)}
+    key, doc = np.sort(rng.integers(0, 9, 300)), np.arange(300)
+    for rows in (1, 2, 7, 300):
+        batches = (b for i in range(0, 300, rows) for b in neardup.batches_of(neardup.KEYED, [key[i : i + rows], doc[i : i + rows]]))
+        links = [tuple(r.values()) for b in neardup.linker(batches) for r in b.to_pylist()]
+        assert connected(links, range(300)) == {i: int(np.flatnonzero(key == key[i])[0]) for i in range(300)}
+        assert max(Counter(b for _, b in links).values()) < 25
+
+
+def test_candidates_connect_all_that_agree(spark, monkeypatch):
+    """Families that share keys with half-alike strangers, in blocks so small that members meet across them."""
+    monkeypatch.setattr(neardup, "ROWS", 3)
+    monkeypatch.setattr(neardup, "COLUMNS", 4)
+    monkeypatch.setattr(neardup, "HUB", 5)
+    rng, least = np.random.default_rng(8), 24
+    base = rng.integers(0, 2**31, (3, 40))
+    rows = []
+    for i in range(90):
+        mh = base[i % 3].copy()
+        changed = rng.permutation(40)[: (2, 14, 26)[i * 7 % 11 % 3]]
+        mh[changed] = rng.integers(0, 5, len(changed)) if i % 2 else rng.integers(0, 2**31, len(changed))
+        rows.append((i, mh.astype(np.int32).tolist()))
+    mh = np.array([r[1] for r in rows], np.int32)
+    keys = [set(k.tolist()) for k in neardup.band_keys(mh.view(np.uint32))]
+    links = [(a, b) for a in range(90) for b in range(a) if keys[a] & keys[b] and (mh[a] == mh[b]).sum() >= least]
+    expected = connected(links, range(90))
+    made = {r.node: r.root for r in neardup.candidates(spark.createDataFrame(rows, "rep long, mh array<int>"), least).collect()}
+    got = {i: made.get(i, i) for i in range(90)}
+    assert len(set(expected.values())) > 3 and all(got[a] == got[b] for a, b in links)
 
 
 def test_near_duplicates_without_ids(spark):
