@@ -103,7 +103,7 @@ def sketcher(shingle: int, n: int):
 
 
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-KEYED = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
+KEYED = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("root", pa.int64())])
 JUDGED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
 
@@ -115,41 +115,65 @@ def band_keys(mh: np.ndarray) -> np.ndarray:
     return mix(pairs[:, :m, None] * U64(0x9E3779B97F4A7C15) + pairs[:, None, m:]).reshape(len(mh), m * m)
 
 
-def bander(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc), one for each key of a document."""
-    for batch in batches:
-        if batch.num_rows:
-            keys = band_keys(batch.column(1).flatten().to_numpy().view(np.uint32).reshape(batch.num_rows, -1))
-            doc = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
-            yield from batches_of(KEYED, [signed(keys.reshape(-1)), doc])
+def bander(rows: str = "all"):
+    """Keys of classes (rep, root, mh) as rows (key, doc, root), by which rows one wants.
+
+    ``all`` of them; ``some``, as many as a collection has pairs; or the
+    ``first`` document of each root that has a key, among those of a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, root = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys = band_keys(batch.column(2).flatten().to_numpy().view(np.uint32).reshape(batch.num_rows, -1))
+            if rows == "some":
+                keys = keys[:, :: math.isqrt(keys.shape[1]) + 1]
+            n = keys.shape[1]
+            key, doc, root = signed(keys.reshape(-1)), np.repeat(doc, n), np.repeat(root, n)
+            if rows == "first":
+                _, place, count = np.unique(root[::n], return_inverse=True, return_counts=True)
+                family = np.repeat(count[place] > 1, n)
+                some = np.flatnonzero(family)
+                order = some[np.lexsort((doc[some], root[some], key[some]))]
+                again = (key[order][1:] == key[order][:-1]) & (root[order][1:] == root[order][:-1])
+                keep = ~family
+                keep[order[np.concatenate(([True], ~again))[: len(order)]]] = True
+                key, doc, root = key[keep], doc[keep], root[keep]
+            yield from batches_of(KEYED, [key, doc, root])
+
+    return run
 
 
 def linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows of ``bander`` sorted by (key, doc): links (a, b) that span the members of every key.
+    """From rows of ``bander`` sorted by (key, doc): links (a, b) that span the roots of every key's members.
 
     About one document in HUB is a hub, by a hash of its id. Every member is
     linked to the last hub before it, or else to the key's first member; hubs
     too. So a document has the same few partners in all the keys that it shares
-    with a family, and no hub has many. Holds one batch, one row and the links found.
+    with a family, and no hub has many. Links within a root are known and left
+    out. Holds one batch, one row and the links found.
     """
-    carry: tuple[int, int] | None = None
+    carry: tuple[int, ...] | None = None
     found: list[np.ndarray] = []
     rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        k, d, r = (batch.column(i).to_numpy() for i in range(3))
         if carry:
-            k, d = np.concatenate(([carry[0]], k)), np.concatenate(([carry[1]], d))
+            k, d, r = (np.concatenate(([x], y)) for x, y in zip(carry, (k, d, r), strict=True))
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         hub = new | (mix(d.view(U64) * U64(0x9E3779B97F4A7C15)) % U64(HUB) == 0)
         last = np.maximum.accumulate(np.where(hub, np.arange(len(k)), 0))
         i = np.flatnonzero(~new)
-        i = i[d[i] != d[last[i - 1]]]
-        found.append(np.stack((d[i], d[last[i - 1]]), 1))
-        rows += len(i)
-        carry = int(k[-1]), int(d[last[-1]])
+        to = last[i - 1]
+        other = (r[i] != r[to]) & (d[i] != d[to])
+        found.append(np.stack((d[i[other]], d[to[other]]), 1))
+        rows += int(other.sum())
+        carry = int(k[-1]), int(d[last[-1]]), int(r[last[-1]])
         if rows >= LINKS:
             links = np.unique(np.concatenate(found), axis=0)
             yield from batches_of(LINK, [links[:, 0], links[:, 1]])
@@ -316,38 +340,45 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int)
     return first.unionByName(compared(left.unionByName(right)))
 
 
+def _judged(classes: DataFrame, keyed: DataFrame, least: int) -> DataFrame:
+    """Links of ``linker`` between members of keys, judged; see ``judge``."""
+    links = keyed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(linker, "a long, b long").distinct()
+    own = lambda side: classes.select(F.col("rep").alias(side), F.col("mh").alias(f"mh_{side}"))
+    pairs = links.join(own("a"), "a").join(own("b"), "b").select("a", "b", "mh_a", "mh_b")
+    return cut(pairs.mapInArrow(judge(least), "a long, b long, key long"))
+
+
 def candidates(classes: DataFrame, least: int) -> DataFrame:
     """Clusters (node, root) that connect any two of ``classes`` (rep, mh) with a common key and ``least`` equal minhashes.
 
-    The links of ``linker`` span each key; those that agree make clusters. A
-    key whose members lie in several clusters holds a link that disagrees, so
-    such keys are known. In each of them the members outside its largest
-    cluster meet each other, and that cluster's members: these travel once a
-    cluster, not once a key. Both meet by sketches in blocks of ROWS and
+    The links of ``linker`` span each key; those that agree make clusters, first
+    by a tenth of the keys, then by all keys, where a cluster's members count
+    once. A key whose members lie in several clusters holds a link that
+    disagrees, so such keys are known. In each of them the members outside its
+    largest cluster meet each other, and that cluster's members: these travel
+    once a cluster, not once a key. Both meet by sketches in blocks of ROWS and
     COLUMNS, spread over tasks. That is a square of the members of a key that
     lie outside its largest cluster, and of nothing else.
     """
-    keys = lambda rows: rows.mapInArrow(bander, "key long, doc long")
-    dealt = keys(classes).repartition("key").sortWithinPartitions("key", "doc")
-    links = cut(dealt.mapInArrow(linker, "a long, b long").distinct())
-    own = lambda side: classes.select(F.col("rep").alias(side), F.col("mh").alias(f"mh_{side}"))
-    pairs = links.join(own("a"), "a").join(own("b"), "b").select("a", "b", "mh_a", "mh_b")
-    judged = cut(pairs.mapInArrow(judge(least), "a long, b long, key long"))
-    good = judged.where(F.col("key") == NONE).select("a", "b")
-    clusters = components(good)
+    keys = lambda rows, which: rows.select("rep", "root", "mh").mapInArrow(bander(which), "key long, doc long, root long")
+    rooted = lambda clusters: classes.join(clusters.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    agreed = lambda judged: judged.where(F.col("key") == NONE).select("a", "b")
+    early = agreed(_judged(classes, keys(classes.withColumn("root", F.col("rep")), "some"), least))
+    judged = _judged(classes, keys(rooted(components(early)), "first"), least)
+    good = cut(early.unionByName(agreed(judged)))
+    clusters = cut(components(good))
     named = lambda side: clusters.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     bad = judged.where(F.col("key") != NONE).join(named("a"), "a", "left").join(named("b"), "b", "left")
     open_keys = cut(bad.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("key").distinct())
     n = open_keys.count()
     if not n:
         return clusters
-    touched = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "rep")
-    rows = keys(classes.join(touched, "rep", "left_semi")).join(F.broadcast(open_keys) if n <= FEW_KEYS else open_keys, "key", "left_semi")
-    members = rows.join(clusters.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-    members = cut(members)
+    small = F.broadcast if n <= FEW_KEYS else lambda frame: frame
+    members = cut(keys(rooted(clusters), "all").join(small(open_keys), "key", "left_semi"))
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"))
-    outside = cut(members.join(largest, "key").where("root <> most").select("key", "doc", "root", "most"))
+    # Cut, so that the join below has no aggregate beside it and a key of very many members can be split.
+    largest = cut(sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most")))
+    outside = cut(members.join(small(largest), "key").where("root <> most").select("key", "doc", "root", "most"))
     met = outside.select("most").distinct().withColumnRenamed("most", "root")
     row = lambda part, g: (F.lit(part).alias("part"), F.col(g).alias("g"), "doc", "root")
     left = outside.select(*row(0, "most")).distinct().unionByName(outside.select(*row(1, "key")))

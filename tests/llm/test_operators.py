@@ -167,15 +167,29 @@ def connected(links, ids):
 
 
 def test_links_span_keys(monkeypatch):
-    """Batches of any size give links that connect all members of each key and nothing else, and no hub has them all."""
+    """Batches of any size give links that connect all roots of each key's members and nothing else, and no hub has them all."""
     monkeypatch.setattr(neardup, "HUB", 4)
     rng = np.random.default_rng(3)
     key, doc = np.sort(rng.integers(0, 9, 300)), np.arange(300)
     for rows in (1, 2, 7, 300):
-        batches = (b for i in range(0, 300, rows) for b in neardup.batches_of(neardup.KEYED, [key[i : i + rows], doc[i : i + rows]]))
+        batches = (b for i in range(0, 300, rows) for b in neardup.batches_of(neardup.KEYED, [x[i : i + rows] for x in (key, doc, doc)]))
         links = [tuple(r.values()) for b in neardup.linker(batches) for r in b.to_pylist()]
         assert connected(links, range(300)) == {i: int(np.flatnonzero(key == key[i])[0]) for i in range(300)}
         assert max(Counter(b for _, b in links).values()) < 25
+    batches = neardup.batches_of(neardup.KEYED, [[1] * 5, [1, 2, 3, 4, 5], [1, 1, 3, 1, 3]])
+    links = [tuple(r.values()) for b in neardup.linker(batches) for r in b.to_pylist()]
+    assert connected([*links, (1, 2), (1, 4), (3, 5)], range(1, 6))[3] == 1 and len(links) < 4
+
+
+def test_keys_once_a_root():
+    mh = np.random.default_rng(1).integers(0, 2**31, (3, 40)).astype(np.int32)[[0, 0, 1, 2, 1]].tolist()
+    schema = neardup.pa.schema([("rep", neardup.pa.int64()), ("root", neardup.pa.int64()), ("mh", neardup.pa.list_(neardup.pa.int32()))])
+    made = {}
+    for which in ("all", "some", "first"):
+        batches = neardup.batches_of(schema, [[9, 8, 7, 6, 5], [8, 8, 7, 6, 5], mh])
+        made[which] = [tuple(r.values()) for b in neardup.bander(which)(batches) for r in b.to_pylist()]
+    assert len(set(made["all"])) == 500 and len(made["some"]) == 50 and set(made["some"]) <= set(made["all"])
+    assert sorted(made["first"]) == sorted(r for r in made["all"] if r[1] != 9)
 
 
 def test_candidates_connect_all_that_agree(spark, monkeypatch):
