@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -22,7 +24,10 @@ _M1, _M2, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or one of our own where the session names none."""
+    """The shared folder that the session names, or, on a local master only, a temporary one that goes when Python ends.
+
+    A cluster's executors can't see a folder of the driver's, so there the setting is required.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -31,7 +36,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if current is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="requill-checkpoint-"))
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="requill-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
         current = sc.getCheckpointDir()
     return current
 
@@ -169,7 +178,7 @@ class Reader:
 
 
 class LocalRepeats:
-    """Rows (key, extra bits of the key, document, position), made ready to look for keys that repeat.
+    """Rows (key, extra bits of the key, document row, position), made ready to look for keys that repeat.
 
     Of the rows of a block (LOCAL_ROWS) that share a key only one is compared
     with other blocks, marked as shared; the others are known to repeat and
@@ -182,32 +191,30 @@ class LocalRepeats:
         self.buckets = buckets
         self.parts: list[tuple] = []
         self.docs: list[np.ndarray] = []
-        self.tags: list[np.ndarray] = []
         self.rows = self.known_docs = 0
 
-    def add(self, key: np.ndarray, extra: np.ndarray | None, doc: np.ndarray, tag: np.ndarray, row: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """``row`` are places in ``doc`` and ``tag``."""
+    def add(self, key: np.ndarray, extra: np.ndarray | None, doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``row`` are places in ``doc``."""
         if len(key):
             self.parts.append((key, np.zeros(0, np.uint32) if extra is None else extra, row + self.known_docs, pos))
             self.docs.append(doc)
-            self.tags.append(tag)
             self.known_docs += len(doc)
             self.rows += len(key)
         if self.rows >= LOCAL_ROWS:
             yield from self.flush()
 
-    def _pack(self, key, extra, row, pos, shared, known_row, known_pos, docs, tags) -> bytes:
+    def _pack(self, key, extra, row, pos, shared, known_row, known_pos, docs) -> bytes:
         used = np.unique(np.concatenate((row, known_row)))
         head = np.array([len(key), len(extra), len(known_row), len(used)], np.int32).tobytes()
         place = lambda r: planes(np.searchsorted(used, r).astype(np.int32))
-        body = planes(np.diff(docs[used], prepend=0)) + planes(tags[used]) + planes(np.diff(key, prepend=U64(0))) + planes(extra)
+        body = planes(np.diff(docs[used], prepend=0)) + planes(np.diff(key, prepend=U64(0))) + planes(extra)
         return head + body + place(row) + planes(pos) + shared.astype(np.uint8).tobytes() + place(known_row) + planes(known_pos)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.rows:
             return
         key, extra, row, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        docs, tags = np.concatenate(self.docs), np.concatenate(self.tags)
+        docs = np.concatenate(self.docs)
         self.__init__(self.buckets)
         order = np.lexsort((extra, key)) if len(extra) else np.argsort(key, kind="stable")
         key, extra, row, pos = key[order], extra[order] if len(extra) else extra, row[order], pos[order]
@@ -229,7 +236,7 @@ class LocalRepeats:
             i, j, u, v = limits[b], limits[b + 1], known_limits[b], known_limits[b + 1]
             if i < j or u < v:
                 buckets.append(b)
-                packed.append(self._pack(key[i:j], extra[i:j] if len(extra) else extra, row[i:j], pos[i:j], shared[i:j], known_row[u:v], known_pos[u:v], docs, tags))
+                packed.append(self._pack(key[i:j], extra[i:j] if len(extra) else extra, row[i:j], pos[i:j], shared[i:j], known_row[u:v], known_pos[u:v], docs))
         yield from batches_of(pa.schema([("bucket", pa.int32()), ("rows", pa.binary())]), [buckets, packed], 2000)
 
 
@@ -248,35 +255,34 @@ def unpack_positions(packed: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(packed, np.uint16 if packed[:1] == b"2" else np.uint32, offset=1).astype(np.int64))
 
 
-def by_document(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct rows sorted by document and position, and where each document begins; repeated rows list each position anew."""
-    order = np.lexsort((pos, tag, doc))
-    doc, tag, pos = doc[order], tag[order], pos[order]
+def by_document(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows sorted by document and position, and where each document begins."""
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
     distinct = np.ones(len(doc), bool)
-    distinct[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1])
-    doc, tag, pos = doc[distinct], tag[distinct], pos[distinct]
+    distinct[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
+    doc, pos = doc[distinct], pos[distinct]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
-    return doc, tag, pos, np.flatnonzero(new)
+    new[1:] = doc[1:] != doc[:-1]
+    return doc, pos, np.flatnonzero(new)
 
 
 def repeated_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """From one bucket's packed rows those whose key occurs more than once, packed for buckets of documents."""
-    parts, docs, tags, n_docs = [], [], [], 0
+    parts, docs, n_docs = [], [], 0
     known: list[tuple] = []
     for batch in batches:
         for value in batch.column(batch.schema.names.index("rows")).to_pylist():
             n, n_extra, n_known, used = np.frombuffer(value[:16], np.int32).tolist()
             read = Reader(value[16:])
             docs.append(np.cumsum(read.take(used, np.int64)))
-            tags.append(read.take(used, np.int32))
             key, extra = np.cumsum(read.take(n, np.uint64), dtype=U64), read.take(n_extra, np.uint32)
             parts.append((key, extra, read.take(n, np.int32) + n_docs, read.take(n, np.int32), read.take(n, np.uint8)))
             known.append((read.take(n_known, np.int32) + n_docs, read.take(n_known, np.int32)))
             n_docs += used
     if not docs:
         return
-    docs, tags = np.concatenate(docs), np.concatenate(tags)
+    docs = np.concatenate(docs)
     rows, places = [x[0] for x in known], [x[1] for x in known]
     total = sum(len(p[0]) for p in parts)
     steps = max(1, -(-total // SORT_ROWS))
@@ -298,54 +304,64 @@ def repeated_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         rows.append(row[order][hit])
         places.append(pos[order][hit])
     row, pos = np.concatenate(rows), np.concatenate(places)
-    doc, tag = docs[row], tags[row]
+    doc = docs[row]
     spread = bucket_of(mix(doc.view(U64) + U64(1)), buckets)
     order = np.argsort(spread, kind="stable")
     limits = np.searchsorted(spread[order], np.arange(buckets + 1))
     out: tuple[list, list] = ([], [])
     for b, (i, j) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)):
         if i < j:
-            d, t, p, first = by_document(doc[order[i:j]], tag[order[i:j]], pos[order[i:j]])
+            d, p, first = by_document(doc[order[i:j]], pos[order[i:j]])
             gaps = np.diff(p, prepend=0).astype(np.int32)
             gaps[first] = p[first]
             head = np.array([len(first), len(p)], np.int32).tobytes()
             out[0].append(b)
-            out[1].append(head + planes(np.diff(d[first], prepend=0)) + planes(t[first]) + planes(np.diff(first, append=len(p)).astype(np.int32)) + planes(gaps))
+            out[1].append(head + planes(np.diff(d[first], prepend=0)) + planes(np.diff(first, append=len(p)).astype(np.int32)) + planes(gaps))
     yield from batches_of(pa.schema([("bucket", pa.int32()), ("rows", pa.binary())]), list(out), 2000)
 
 
 def merged_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document of a bucket: (doc, tag, its packed positions)."""
+    """One row for each document row of a bucket: (row, its packed positions)."""
     parts: list[tuple] = []
     for batch in batches:
         for value in batch.column(batch.schema.names.index("rows")).to_pylist():
             n, total = np.frombuffer(value[:8], np.int32).tolist()
             read = Reader(value[8:])
-            doc, tag, count, gaps = np.cumsum(read.take(n, np.int64)), read.take(n, np.int32), read.take(n, np.int32), read.take(total, np.int32)
+            doc, count, gaps = np.cumsum(read.take(n, np.int64)), read.take(n, np.int32), read.take(total, np.int32)
             sums = np.cumsum(gaps.astype(np.int64))
             first = np.cumsum(count) - count
             pos = sums - np.repeat(np.concatenate(([0], sums))[first], count)
-            parts.append((np.repeat(doc, count), np.repeat(tag, count), pos.astype(np.int32)))
+            parts.append((np.repeat(doc, count), pos.astype(np.int32)))
     if not parts:
         return
-    doc, tag, pos, first = by_document(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    doc, pos, first = by_document(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     packed = [pack_positions(x) for x in np.split(pos, first[1:])]
-    yield from batches_of(pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.binary())]), [doc[first], tag[first], packed], 20_000)
+    yield from batches_of(pa.schema([("row", pa.int64()), ("at", pa.binary())]), [doc[first], packed], 20_000)
 
 
-def buckets_of(spark: SparkSession) -> int:
-    """As many buckets of the key space as the session shuffles into."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Input bytes whose keys go to one bucket.
+BUCKET_BYTES = 64 << 20
 
 
-def find_repeats(packed: DataFrame, buckets: int) -> DataFrame:
-    """(doc, tag, at): for each document that has any, the packed positions whose key occurs more than once anywhere."""
-    found = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda rows: repeated_rows(rows, buckets), PACKED)
-    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(merged_positions, "doc long, tag int, at binary")
+def buckets_of(documents: DataFrame) -> int:
+    """Buckets of the key space: as many as the session shuffles into, and more where the input is larger than that many BUCKET_BYTES.
+
+    The input's bytes are Spark's own estimate, from the sizes of its files; an
+    estimate of nothing known (a bare RDD) is passed over. So what a task holds
+    of a bucket doesn't grow with the input.
+    """
+    spark = documents.sparkSession
+    stats = documents._jdf.queryExecution().optimizedPlan().stats()
+    size = int(str(stats.sizeInBytes()))
+    unknown = int(spark._jsparkSession.sessionState().conf().defaultSizeInBytes())
+    wanted = -(-size // BUCKET_BYTES) if size < unknown else 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, 1 << 20), 1)
 
 
-#: Stands for a null doc_id while rows are joined.
-NO_ID = -(2**63)
+def find_repeats(packed: DataFrame, buckets: int) -> DataFrame:
+    """(row, at): for each document row that has any, the packed positions whose key occurs more than once anywhere."""
+    found = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda rows: repeated_rows(rows, buckets), PACKED)
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(merged_positions, "row long, at binary")
 
 
 def texts(documents: DataFrame) -> DataFrame:
@@ -354,16 +370,27 @@ def texts(documents: DataFrame) -> DataFrame:
 
 
 def identified(documents: DataFrame) -> DataFrame:
-    """(doc, tag, text): a row is known by its id (NO_ID for null) and a hash of its text.
+    """(row, doc_id, text): every row under a number of its own.
 
-    Rows that agree in both are repeats of one row and get equal results, so
-    neither repeated ids nor null ids mix up different texts.
+    The number is a row's partition and place in it, which a table's files (or
+    a checkpoint's) give alike each time they are read, also after the loss of
+    an executor. Repeated rows, shared ids and null ids stay apart.
     """
-    return documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.hash(F.col("text").cast("string")).alias("tag"),
-        F.col("text").cast("string").alias("text"),
-    )
+    return texts(documents).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+
+
+def beside(documents: DataFrame, compute, columns: str) -> DataFrame:
+    """All columns of ``documents`` in a struct ``row``, and beside it ``columns``, which ``compute`` gives for the texts of a batch."""
+    rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"))
+    rows = rows.select("row", F.col("row.text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = compute([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["row", *names])
+
+    names = [c.split()[0] for c in columns.split(", ")]
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {columns}")
 
 
 def workspace(spark: SparkSession) -> str:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from requill.llm.common import NO_ID, PACKED, LocalRepeats, WordHashes, buckets_of, find_repeats, identified, offsets, unpack_positions, window_hashes, word_chunks
+from requill.llm.common import PACKED, LocalRepeats, WordHashes, buckets_of, find_repeats, identified, offsets, unpack_positions, window_hashes, word_chunks
 
 #: Perfect difference sets by period. Every difference modulo the period occurs among their members.
 COVERS = {1: (0,), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
@@ -42,15 +42,14 @@ def anchors(window: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, local = WordHashes(), LocalRepeats(buckets)
-        for cols, words in word_chunks(batches, bytes.split, ("doc", "tag")):
+        for cols, words in word_chunks(batches, bytes.split, ("row",)):
             off, row, pos = _starts_of_documents(words)
             h = hashes.of([w for doc in words for w in doc])
             keys = window_hashes(h, length)
             row, pos = row[: len(keys)], pos[: len(keys)]
             size = np.diff(off)[row]
             keep = on_cover[pos % period] & (size >= window) & (pos + length <= size)
-            doc, tag = np.array(cols["doc"], np.int64), np.array(cols["tag"], np.int32)
-            yield from local.add(keys[keep], None, doc, tag, row[keep], pos[keep].astype(np.int32))
+            yield from local.add(keys[keep], None, np.array(cols["row"], np.int64), row[keep], pos[keep].astype(np.int32))
         yield from local.flush()
 
     return run
@@ -64,7 +63,7 @@ def full_windows(window: int, buckets: int):
         hashes, local = WordHashes(), LocalRepeats(buckets)
         for batch in batches:
             some = batch.filter(pa.compute.is_valid(batch.column("at")))
-            for cols, words in word_chunks(iter([some]), bytes.split, ("doc", "tag", "at")):
+            for cols, words in word_chunks(iter([some]), bytes.split, ("row", "at")):
                 off = offsets(words)
                 h = hashes.of([w for doc in words for w in doc])
                 key, extra = window_hashes(h, window, 1), (window_hashes(h, window, 2) >> np.uint64(32)).astype(np.uint32)
@@ -76,8 +75,7 @@ def full_windows(window: int, buckets: int):
                     np.add.at(step, off[i] + np.minimum(at, last) + 1, -1)
                 start = np.flatnonzero(np.cumsum(step)[:-1] > 0)
                 row = np.searchsorted(off, start, "right") - 1
-                doc, tag = np.array(cols["doc"], np.int64), np.array(cols["tag"], np.int32)
-                yield from local.add(key[start], extra[start], doc, tag, row, (start - off[row]).astype(np.int32))
+                yield from local.add(key[start], extra[start], np.array(cols["row"], np.int64), row, (start - off[row]).astype(np.int32))
         yield from local.flush()
 
     return run
@@ -91,7 +89,7 @@ def remover(window: int, with_text: bool):
         schema = RESULT if with_text else pa.schema(list(RESULT)[:-1])
         for batch in batches:
             out = [[] for _ in schema]
-            ids, at, text = (batch.column(k) for k in ("doc", "at", "text"))
+            ids, at, text = (batch.column(k) for k in ("doc_id", "at", "text"))
             text = text.cast(pa.binary())
             for i in range(batch.num_rows):
                 words = (text[i].as_py() or b"").split()
@@ -104,8 +102,7 @@ def remover(window: int, with_text: bool):
                     gone = np.cumsum(step)[:n] > 0
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = b" ".join(words)
-                d = ids[i].as_py()
-                row = (None if d == NO_ID else d, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None)
+                row = (ids[i].as_py(), n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None)
                 for column, value in zip(out, row, strict=False):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
@@ -121,20 +118,19 @@ def remove_repeats(documents: DataFrame, window: int = 35, with_text: bool = Fal
     one space) and, ``with_text``, kept (those words). Windows are judged on the
     input: a passage repeated within one text, or in a repeated row, counts.
     A null or empty text has no words and keeps the empty string; a document of
-    fewer words than the window keeps all. A null doc_id stays null. Rows that
-    share a doc_id but not their text are judged apart. Extra columns are ignored.
-
-    The text is shuffled once, by document, and that exchange is read twice.
-    Keys are pre-aggregated in each map task, so that a passage in a third of
-    all documents sends one row a task. Keys are dealt to as many buckets as the
-    session shuffles into; a bucket is held packed, about 15 bytes a key, and
-    sorted by ranges.
+    fewer words than the window keeps all. Every row is judged for itself, so
+    null and shared ids don't matter. Extra columns are ignored.
+
+    The text is shuffled once, by row, and that exchange is read twice. Keys are
+    pre-aggregated in each map task, so that a passage in a third of all
+    documents sends one row a task. Keys are dealt to buckets whose number
+    follows the input's size (``buckets_of``); a bucket is held packed, about 15
+    bytes a key, and sorted by ranges.
     """
     docs = identified(documents)
-    key = ["doc", "tag"]
-    n = buckets_of(documents.sparkSession)
+    n = buckets_of(documents)
     near = find_repeats(docs.mapInArrow(anchors(window, n), PACKED), n)
-    windows = docs.join(near.hint("merge"), key, "left").mapInArrow(full_windows(window, n), PACKED)
+    windows = docs.join(near.hint("merge"), "row", "left").mapInArrow(full_windows(window, n), PACKED)
     found = find_repeats(windows, n)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return docs.join(found.hint("merge"), key, "left").mapInArrow(remover(window, with_text), schema)
+    return docs.join(found.hint("merge"), "row", "left").mapInArrow(remover(window, with_text), schema)

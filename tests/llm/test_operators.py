@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from requill.llm import bpe, compaction, decontam, grades, lengths, neardup, queries, rules, secrets, substrings, urls
+from requill.llm import bpe, common, compaction, decontam, grades, lengths, neardup, queries, rules, secrets, substrings, urls
 from requill.llm.common import workspace
 from requill.llm.graph import components
 from tests.llm import brute
@@ -319,6 +319,25 @@ def test_repeats_of_ids_and_nulls(spark):
     assert collected(made, "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.repeats(given, 35))
 
 
+def test_rows_are_told_apart(spark, tmp_path):
+    """Many null ids, among them texts whose 32-bit hashes collide, and rows that a table gives in the same order again."""
+    long = " ".join(f"w{i}" for i in range(40))
+    colliding = [f"{long} w59 3540", f"{long} s 2504"]
+    given = [(None, t) for t in colliding] + [(None, f"only {i} words here") for i in range(300)] + [(5, f"{long} end")] * 2
+    spark.createDataFrame(given, DOCS).repartition(7).write.parquet(f"{tmp_path}/t")
+    made = substrings.remove_repeats(spark.read.parquet(f"{tmp_path}/t"))
+    assert collected(made, "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.repeats(given, 35))
+    assert "ReusedExchange" in made._jdf.queryExecution().executedPlan().toString() or "AdaptiveSparkPlan" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_follow_the_input(spark, monkeypatch, tmp_path):
+    spark.range(20_000).write.parquet(f"{tmp_path}/t")
+    frame = spark.read.parquet(f"{tmp_path}/t")
+    assert common.buckets_of(frame) == 4
+    monkeypatch.setattr(common, "BUCKET_BYTES", 1000)
+    assert common.buckets_of(frame) > 50 and common.buckets_of(frame.where("id < 0")) > 50
+
+
 def test_covers_meet_every_difference():
     for period, cover in substrings.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
