@@ -7,45 +7,53 @@ only, as a table format does with its metadata.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Times that a change is tried again on top of what another writer has committed.
+TRIES = 20
+
 
 @dataclass(frozen=True)
-class Run:
-    """A set of immutable Parquet files in one folder, and their bytes."""
+class Shard:
+    """One immutable Parquet file: its path below the store's data folder, its bytes, and the version its rows came with."""
 
-    name: str
-    files: int
+    path: str
     size: int
     order: int = 0
 
+    @property
+    def run(self) -> str:
+        return self.path.rsplit("/", 1)[0]
+
 
 @dataclass
 class Manifest:
     version: int = 0
-    runs: list[Run] = field(default_factory=list)
+    shards: list[Shard] = field(default_factory=list)
 
 
 class VersionConflict(RuntimeError):
-    """Another writer has committed this version."""
+    """Another writer has committed this version, or has merged the same shards."""
 
 
 class ShardStore:
-    """A table of runs in a folder of any file system that Spark knows.
+    """A table of shards in a folder of any file system that Spark knows.
 
     Rows of a null, empty or repeated kind are stored as they come, with all
-    columns. An append of no rows makes no run. A lost writer leaves files
-    that no manifest names; they are never read, and ``vacuum`` removes them.
+    columns. An append of no rows commits nothing. Every version stays readable
+    until ``vacuum`` takes its files. A lost writer leaves files that no
+    manifest names; they are never read, and ``vacuum`` removes them.
     """
 
     def __init__(self, spark: SparkSession, path: str, target: int = 128 << 20, fanout: int = 4, smallest: int = 1 << 20) -> None:
         self.spark, self.path, self.target, self.fanout, self.smallest = spark, path.rstrip("/"), target, fanout, smallest
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     # -- manifest
@@ -54,140 +62,199 @@ class ShardStore:
         folder = self._path(f"{self.path}/{name}")
         return list(self._fs.listStatus(folder)) if self._fs.exists(folder) else []
 
+    def versions(self) -> list[int]:
+        """Those that can be read, in order."""
+        names = (s.getPath().getName() for s in self._list("_manifest"))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
     def manifest(self, version: int | None = None) -> Manifest:
         """The latest manifest, or that of a version; an empty one before the first commit."""
-        names = sorted(s.getPath().getName() for s in self._list("_manifest") if s.getPath().getName().endswith(".json"))
-        names = [n for n in names if version is None or int(n[:-5]) == version]
-        if not names:
-            if version:
-                raise ValueError(f"no version {version}")
+        known = self.versions()
+        if version is None:
+            version = known[-1] if known else 0
+        if not version:
             return Manifest()
-        text = "\n".join(self.spark.sparkContext.wholeTextFiles(f"{self.path}/_manifest/{names[-1]}", 1).values().collect())
-        read = json.loads(text)
-        return Manifest(read["version"], [Run(**r) for r in read["runs"]])
-
-    def commit(self, base: Manifest, runs: list[Run]) -> Manifest:
-        """Make ``runs`` version base + 1: written aside, then renamed, which fails if another writer was there first."""
-        new = Manifest(base.version + 1, runs)
+        if version not in known:
+            raise ValueError(f"no version {version}")
+        stream = self._fs.open(self._path(f"{self.path}/_manifest/{version:012d}.json"))
+        try:
+            read = json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
+        return Manifest(read["version"], [Shard(**s) for s in read["shards"]])
+
+    def commit(self, base: Manifest, shards: list[Shard]) -> Manifest:
+        """Make ``shards`` version base + 1, or raise VersionConflict if another writer was there first.
+
+        The manifest is written aside and then given its name in one step that
+        fails where the name is taken: a hard link on local disks, a rename
+        elsewhere, which HDFS refuses if the target exists. A store whose rename
+        overwrites needs a lock of its own around writers.
+        """
+        new = Manifest(base.version + 1, shards)
         aside = self._path(f"{self.path}/_manifest/.{uuid.uuid4().hex}")
         final = self._path(f"{self.path}/_manifest/{new.version:012d}.json")
         stream = self._fs.create(aside, False)
         stream.write(bytearray(json.dumps(asdict(new)).encode()))
         stream.close()
-        if self._fs.exists(final) or not self._fs.rename(aside, final):
+        taken = True
+        try:
+            if self._fs.getScheme() == "file":
+                here = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+                try:
+                    self._jvm.java.nio.file.Files.createLink(here(final), here(aside))
+                    taken = False
+                except Exception as e:
+                    if "FileAlreadyExists" not in str(e):
+                        raise
+            else:
+                taken = self._fs.exists(final) or not self._fs.rename(aside, final)
+        finally:
             self._fs.delete(aside, False)
+        if taken:
             raise VersionConflict(f"version {new.version} is taken")
         return new
 
+    def change(self, add: list[Shard], remove: list[Shard] = ()) -> Manifest:
+        """Commit shards added and removed on top of whatever is the latest version by then."""
+        gone = {s.path for s in remove}
+        for _ in range(TRIES):
+            base = self.manifest()
+            if not gone <= {s.path for s in base.shards}:
+                raise VersionConflict("another writer has merged these shards")
+            made = [Shard(s.path, s.size, s.order or base.version + 1) for s in add]
+            try:
+                return self.commit(base, [*(s for s in base.shards if s.path not in gone), *made])
+            except VersionConflict:
+                continue
+        raise VersionConflict(f"lost {TRIES} times to other writers")
+
     # -- shards
 
-    def _run(self, name: str) -> Run:
-        files = [s for s in self._list(f"data/{name}") if s.getPath().getName().startswith("part-")]
-        return Run(name, len(files), sum(s.getLen() for s in files))
+    def _written(self, folder: str, order: int = 0) -> list[Shard]:
+        found = [s for s in self._list(f"data/{folder}") if s.getPath().getName().startswith("part-")]
+        return sorted((Shard(f"{folder}/{s.getPath().getName()}", s.getLen(), order) for s in found), key=lambda s: s.path)
 
     def append(self, rows: DataFrame) -> Manifest:
         """Add rows as one run of small shards, as they are partitioned, and commit."""
-        return self.append_all([rows])
+        run = f"run-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/data/{run}")
+        if self.spark.read.parquet(f"{self.path}/data/{run}").isEmpty():
+            return self.manifest()
+        return self.change(self._written(run))
 
-    def append_all(self, arrivals: list[DataFrame]) -> Manifest:
-        """Append each arrival in turn; every one is a commit of its own."""
-        made = self.manifest()
-        for rows in arrivals:
-            name = f"run-{uuid.uuid4().hex}"
-            rows.write.parquet(f"{self.path}/data/{name}")
-            run = self._run(name)
-            if run.size and run.files:
-                made = self.commit(made, [*made.runs, Run(run.name, run.files, run.size, made.version + 1)])
-        return made
-
-    def arrive(self, rows: DataFrame, arrival: str, order: list | None = None) -> Manifest:
+    def arrive(self, rows: DataFrame, arrival: str) -> Manifest:
         """Append rows that carry their arrival in a column, written in one pass; arrivals are committed in order.
 
         The column must name a bounded number of arrivals; it isn't stored.
         """
-        stage = f"stage-{uuid.uuid4().hex}"
+        stage = f"run-{uuid.uuid4().hex}"
         rows.write.partitionBy(arrival).parquet(f"{self.path}/data/{stage}")
         folders = sorted((s.getPath().getName() for s in self._list(f"data/{stage}") if s.isDirectory() and "=" in s.getPath().getName()), key=lambda n: (len(n), n))
         made = self.manifest()
         for folder in folders:
-            run = self._run(f"{stage}/{folder}")
-            made = self.commit(made, [*made.runs, Run(run.name, run.files, run.size, made.version + 1)])
+            made = self.change(self._written(f"{stage}/{folder}"))
         return made
 
-    def tier(self, run: Run) -> int:
-        """0 up to ``smallest`` bytes a run, one more for each ``fanout`` times that."""
+    def tier(self, size: int) -> int:
+        """0 up to ``smallest`` bytes a shard, one more for each ``fanout`` times that."""
         tier, bound = 0, self.smallest
-        while run.size > bound and bound < self.target:
+        while size > bound and bound < self.target:
             tier, bound = tier + 1, bound * self.fanout
         return tier
 
-    def plan(self, manifest: Manifest) -> list[Run]:
-        """The oldest runs of the lowest tier that has ``fanout`` of them below the target's size; none if no tier has."""
-        tiers: dict[int, list[Run]] = {}
-        for run in sorted(manifest.runs, key=lambda r: (r.order, r.name)):
-            if run.size < self.target:
-                tiers.setdefault(self.tier(run), []).append(run)
-        for _, runs in sorted(tiers.items()):
-            if len(runs) >= self.fanout:
-                chosen, size = [], 0
-                for run in runs:
-                    chosen.append(run)
-                    size += run.size
-                    if len(chosen) >= self.fanout and size >= self.target:
-                        break
-                return chosen
-        return []
+    def plan(self, manifest: Manifest) -> list[list[Shard]]:
+        """For each tier that has ``fanout`` shards under half the target its shards, which one round merges."""
+        tiers: dict[int, list[Shard]] = {}
+        for shard in sorted(manifest.shards, key=lambda s: (s.order, s.path)):
+            if 2 * shard.size < self.target:
+                tiers.setdefault(self.tier(shard.size), []).append(shard)
+        return [shards for _, shards in sorted(tiers.items()) if len(shards) >= self.fanout]
 
     def compact(self) -> Manifest:
-        """Merge runs of a tier until no tier is full; each merge is read and written without a shuffle and committed by itself."""
+        """Merge the shards of full tiers until no tier is full; each round is one job without a shuffle, and one commit.
+
+        Spark's own packing of files into partitions of at most the target's
+        bytes makes the groups, and each partition writes one file: as all
+        shards are under half the target, a group is over half of it but for a
+        tier's last. Merged shards stay for older versions. What is left
+        are fewer than ``fanout`` small shards a tier.
+        """
         made = self.manifest()
-        while chosen := self.plan(made):
-            name, size = f"run-{uuid.uuid4().hex}", sum(r.size for r in chosen)
-            rows = self._rows(chosen)
-            rows.coalesce(max(1, -(-size // self.target))).write.parquet(f"{self.path}/data/{name}")
-            run, gone = self._run(name), {r.name for r in chosen}
-            merged = Run(name, run.files, run.size, max(r.order for r in chosen))
-            made = self.commit(made, [*(r for r in made.runs if r.name not in gone), merged])
-            for r in chosen:
-                self._fs.delete(self._path(f"{self.path}/data/{r.name}"), True)
+        while tiers := self.plan(made):
+            run = f"run-{uuid.uuid4().hex}"
+            session = self.spark.newSession()
+            # A partition is as many whole files as fit the target; nothing is cut to feed all cores.
+            for key, value in {"maxPartitionBytes": self.target, "openCostInBytes": 0, "minPartitionNum": 1}.items():
+                session.conf.set(f"spark.sql.files.{key}", str(value))
+            rows = None
+            for shards in tiers:
+                part = self._rows(shards, session)
+                rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+            rows.write.parquet(f"{self.path}/data/{run}")
+            merged = [s for shards in tiers for s in shards]
+            made = self.change(self._written(run, max(s.order for s in merged)), merged)
         return made
 
-    def vacuum(self) -> None:
-        """Delete files of no run of the latest manifest; older versions can't be read after that, nor may writers be at work."""
-        kept = {r.name for r in self.manifest().runs}
-        for s in self._list("data"):
-            name = s.getPath().getName()
-            if name in kept:
-                continue
-            inner = [x.getPath().getName() for x in self._list(f"data/{name}")]
-            if any(f"{name}/{x}" in kept for x in inner):
-                for x in inner:
-                    if f"{name}/{x}" not in kept:
-                        self._fs.delete(self._path(f"{self.path}/data/{name}/{x}"), True)
-            else:
-                self._fs.delete(self._path(f"{self.path}/data/{name}"), True)
+    def vacuum(self, versions: int = 1, seconds: float = 7 * 24 * 3600) -> None:
+        """Delete manifests older than ``seconds`` but for the latest ``versions``, and files so old that no manifest left names.
 
-    def _rows(self, runs: list[Run]) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.path}/data/{r.name}" for r in runs))
+        The age spares the files of writers at work and of readers that still
+        hold an older version; with 0 there must be none of them.
+        """
+        limit = (time.time() - seconds) * 1000
+        known = self.versions()
+        age = {s.getPath().getName(): s.getModificationTime() for s in self._list("_manifest")}
+        kept = {v for v in known if age[f"{v:012d}.json"] > limit} | set(known[-max(versions, 1) :])
+        named = {s.path for v in kept for s in self.manifest(v).shards}
+
+        def clear(folder: str) -> bool:
+            """Whether nothing is left in a folder."""
+            empty = True
+            for s in self._list(f"data/{folder}".rstrip("/")):
+                name = f"{folder}/{s.getPath().getName()}".lstrip("/")
+                if s.isDirectory():
+                    gone = clear(name)
+                else:
+                    gone = name not in named and s.getModificationTime() <= limit
+                if gone:
+                    self._fs.delete(s.getPath(), True)
+                empty &= gone
+            return empty
+
+        clear("")
+        for v in known:
+            if v not in kept:
+                self._fs.delete(self._path(f"{self.path}/_manifest/{v:012d}.json"), False)
+
+    def _rows(self, shards: list[Shard], session: SparkSession | None = None) -> DataFrame:
+        return (session or self.spark).read.option("mergeSchema", "true").parquet(*(f"{self.path}/data/{s.path}" for s in shards))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version whose files are still there. A store without runs has no schema and can't be read."""
-        return self._rows(self.manifest(version).runs)
+        """All rows of a version that ``vacuum`` hasn't taken. A store without shards has no schema and can't be read."""
+        return self._rows(self.manifest(version).shards)
 
 
 def compacted(documents: DataFrame, path: str, arrivals: int = 16, target: int = 128 << 20, fanout: int = 4) -> DataFrame:
     """Documents after arriving in ``arrivals`` parts and being compacted: doc_id, shard, run, version.
 
-    A row arrives by a hash of its id. One row per input row, with the file
-    (shard) and run that hold it and the manifest version read. Null ids arrive
-    with the hash of null; an empty table gives no rows.
+    A row arrives by a hash of its id, or, without one, of its text, so null ids
+    arrive apart. One row per input row, with the file (shard) and run that hold
+    it and the manifest version read. Extra columns are stored, whatever their
+    names; an empty table gives no rows. Files of older versions are removed at
+    the end, as nobody else knows the store.
     """
     spark = documents.sparkSession
     store = ShardStore(spark, path, target, fanout, smallest=max(1, target // fanout**3))
-    store.arrive(documents.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)).cast("int")), "_arrival")
+    arrival = "arrival"
+    while arrival in {c.lower() for c in documents.columns}:
+        arrival += "_"
+    key = F.coalesce(F.xxhash64("doc_id", F.lit(0)), F.lit(0)) if "text" not in documents.columns else F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    store.arrive(documents.withColumn(arrival, F.pmod(key, F.lit(arrivals)).cast("int")), arrival)
     made = store.compact()
-    if not made.runs:
+    store.vacuum(seconds=0)
+    if not made.shards:
         return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("shard"), F.lit("").alias("run"), F.lit(made.version).cast("long").alias("version")).where("false")
-    rows = store.read()
+    rows = store.read(made.version)
     file = F.input_file_name()
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.element_at(F.split(file, "/"), -1).alias("shard"), F.regexp_extract(file, "/data/(.+)/[^/]+$", 1).alias("run"), F.lit(made.version).cast("long").alias("version"))

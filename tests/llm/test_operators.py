@@ -1,7 +1,9 @@
 """The operators against plain Python, on texts with every awkward case."""
 
+import inspect
 import json
 import random
+import threading
 from collections import Counter
 
 import numpy as np
@@ -258,39 +260,91 @@ def test_fm_index_finds_all_occurrences():
 
 
 def test_compaction_keeps_rows_and_merges(spark, rows):
-    given = spark.createDataFrame(rows + [(None, "a"), (3, "again")], DOCS).withColumn("_x", F.lit(1))
+    given = spark.createDataFrame(rows + [(None, "a"), (None, None), (3, "again"), (3, "again"), (4, "long " * 200_000)], DOCS)
+    given = given.withColumn("arrival", F.lit(1)).withColumn("ARRIVAL_", F.lit(2)).withColumn("shard", F.lit(3)).withColumn("version", F.lit("x"))
     path = workspace(spark)
     made = compaction.compacted(given, path, arrivals=8, target=1 << 20, fanout=2)
     assert collected(made, "doc_id") == collected(given, "doc_id")
     store = compaction.ShardStore(spark, path)
-    assert 1 <= len(store.manifest().runs) < 8 and made.select("run").distinct().count() == len(store.manifest().runs)
-    assert collected(store.read(), "doc_id", "text", "_x") == collected(given, "doc_id", "text", "_x")
+    assert 1 <= len(store.manifest().shards) < 8 and {(r.run, r.shard) for r in made.select("run", "shard").collect()} == {(s.run, s.path.split("/")[-1]) for s in store.manifest().shards}
+    columns = ("doc_id", "text", "arrival", "ARRIVAL_", "shard", "version")
+    assert collected(store.read(), *columns) == collected(given, *columns) and store.versions() == [store.manifest().version]
     assert compaction.compacted(given.where("false"), workspace(spark)).count() == 0
 
 
+def test_small_files_of_large_runs_are_merged(spark):
+    """Runs of more bytes than the target, in many small files: what matters is the files' sizes."""
+    store = compaction.ShardStore(spark, workspace(spark), target=400_000, fanout=4, smallest=20_000)
+    for i in range(4):
+        store.append(spark.range(i * 16_000, (i + 1) * 16_000, 1, 10).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t")))
+    before = store.manifest()
+    assert all(store.target < sum(s.size for s in before.shards if s.run == run) for run in {s.run for s in before.shards}) and len(before.shards) == 40
+    after = store.compact()
+    small = [s for s in after.shards if 2 * s.size < store.target]
+    assert len(after.shards) < 20 and len(small) < 4 and max(s.size for s in after.shards) < 1.2 * store.target and not store.plan(after)
+    assert store.read().count() == store.read().distinct().count() == 64_000
+    assert [store.read(v).count() for v in store.versions()[:4]] == [16_000, 32_000, 48_000, 64_000]
+
+
+def test_plan_matches_brute_force(spark):
+    rng = random.Random(9)
+    store = compaction.ShardStore(spark, workspace(spark), target=1000, fanout=3, smallest=10)
+    for _ in range(50):
+        shards = [compaction.Shard(f"r{i}/f", int(2 ** rng.uniform(0, 11)), i) for i in range(rng.randrange(30))]
+        bounds = [10, 30, 90, 270, 810, 10**9]
+        tiers = [[s for s in shards if 2 * s.size < 1000 and low < s.size <= high] for low, high in zip([0, *bounds], bounds, strict=False)]
+        assert store.plan(compaction.Manifest(1, shards)) == [t for t in tiers if len(t) >= 3]
+
+
 def test_manifests_are_versions_and_conflict(spark):
     store = compaction.ShardStore(spark, workspace(spark), target=1 << 30, fanout=3)
     assert store.manifest().version == 0 and store.compact().version == 0
     for i in range(3):
         store.append(spark.range(i * 10, i * 10 + 10).coalesce(1))
+    assert store.append(spark.range(0)).version == 3
     base = store.manifest()
-    assert base.version == 3 and store.read(1).count() == 10 and [r.order for r in base.runs] == [1, 2, 3]
-    store.commit(base, base.runs)
+    assert base.version == 3 and store.read(1).count() == 10 and [s.order for s in base.shards] == [1, 2, 3]
+    wins = []
+
+    def write():
+        try:
+            wins.append(store.commit(base, base.shards).version)
+        except compaction.VersionConflict:
+            pass
+
+    threads = [threading.Thread(target=write) for _ in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert wins == [4]
+    reader = store.read()
+    assert store.compact().version == 5 and len(store.manifest().shards) == 1 and store.read().count() == 30
+    assert reader.count() == store.read(3).count() == 30
     with pytest.raises(compaction.VersionConflict):
-        store.commit(base, [])
-    assert store.compact().version == 5 and len(store.manifest().runs) == 1 and store.read().count() == 30
+        store.change([], base.shards)
     store.spark.range(5).write.parquet(f"{store.path}/data/run-lost")
     store.vacuum()
-    assert [s.getPath().getName() for s in store._list("data")] == [store.manifest().runs[0].name]
+    assert len(store._list("data")) == 6 and store.versions() == [1, 2, 3, 4, 5]
+    store.vacuum(versions=2, seconds=0)
+    assert store.read(4).count() == 30 and store.versions() == [4, 5]
+    store.vacuum(seconds=0)
+    assert [s.getPath().getName() for s in store._list("data")] == [store.manifest().shards[0].run] and store.read().count() == 30
     with pytest.raises(ValueError):
-        store.manifest(99)
+        store.manifest(4)
+
+
+def test_columns_that_come_later(spark):
+    store = compaction.ShardStore(spark, workspace(spark), fanout=2)
+    store.append(spark.range(3).coalesce(1))
+    store.append(spark.range(3, 5).coalesce(1).withColumn("x", F.lit("new")))
+    store.compact()
+    assert collected(store.read(), "id", "x") == Counter([(0, None), (1, None), (2, None), (3, "new"), (4, "new")])
 
 
-def test_similar_sizes_merge_first(spark):
-    store = compaction.ShardStore(spark, workspace(spark), target=1000, fanout=2, smallest=10)
-    run = compaction.Run
-    assert store.plan(compaction.Manifest(1, [run("a", 1, 5), run("b", 1, 500), run("c", 1, 600)])) == [run("b", 1, 500), run("c", 1, 600)]
-    assert store.plan(compaction.Manifest(1, [run("a", 1, 5), run("b", 1, 90), run("c", 1, 2000)])) == []
+def test_no_python_in_compaction(spark, rows):
+    """Neither a plan nor a manifest is read by a Python worker."""
+    source = inspect.getsource(compaction)
+    made = compaction.compacted(spark.createDataFrame(rows, DOCS), workspace(spark))
+    assert not any(x in made._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow")) and not any(x in source for x in (".rdd", "wholeTextFiles", "mapIn", "udf"))
 
 
 # -- 5: substrings
