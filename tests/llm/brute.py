@@ -1,6 +1,7 @@
 """Plain-Python versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -24,6 +25,46 @@ def secrets(text):
     return [(kind, a, b) for a, _, kind, b in sorted(found)]
 
 
+def random_spans(texts, alphabets, text_like, encoding_of, level=0.05):
+    """The method's spans (start, end) of each text, by plain formulas."""
+    tail = lambda z: math.erfc(z / 2**0.5) / 2
+    found = []
+    for k, text in enumerate(texts):
+        base = secrets(text)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}=*", text or ""):
+            encoding = None if any(a <= m.start() and m.end() <= b for _, a, b in base) else encoding_of(m[0])
+            if encoding is None:
+                continue
+            plain = m[0].lower() if encoding == "hex" else m[0].replace("-", "+").replace("_", "/").replace("=", "")
+            v, size = [alphabets[encoding].index(c) for c in plain], len(alphabets[encoding])
+            n, share = len(v), 1 / size
+            two, three = n * (n - 1) / 2, n * (n - 1) * (n - 2) / 6
+            same = sum(x * (x - 1) / 2 for x in Counter(v).values())
+            var = two * share * (1 - share)
+            skew = (var * (1 - 2 * share) + 6 * three * share**2 * (1 - share)) / var**1.5
+            chi = 6 / skew * (max(skew * (same - 0.5 - two * share) / var**0.5 / 2 + 1, 0) ** (1 / 3) - 1) + skew / 6
+            high = [2 * x >= size for x in v]
+            expected = 2 * sum(high) * (n - sum(high)) / n + 1
+            spread = (expected - 1) * (expected - 2) / (n - 1)
+            runs = abs(1 + sum(a != b for a, b in zip(high, high[1:])) - expected) / spread**0.5 if spread > 0 else 9
+            mean = sum(v) / n
+            square = sum((x - mean) ** 2 for x in v)
+            serial = abs(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / square * n**0.5) if square else 9
+            least = min(1, tail(chi), 2 * tail(runs), 2 * tail(serial))
+            agree, thrice, change = text_like[encoding]
+            changes = len(re.findall("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", plain)) - 1
+            fewer = (two * agree - same - 0.5) / (two * agree * (1 - agree) + 6 * three * (thrice - agree**2)) ** 0.5
+            more = (changes - 0.5 - (n - 1) * change) / ((n - 1) * change * (1 - change)) ** 0.5
+            found.append((k, m.start(), m.end(), 1 - (1 - least) ** 3, tail((fewer + more) / 2**0.5)))
+    bins = [min(120, int(-math.log10(max(f[4], 1e-300)) / 0.1)) if f[4] < 1 else 0 for f in found]
+    low = next((b for b in range(121) if sum(x >= b for x in bins) and len(bins) * 10 ** (-b * 0.1) <= level * sum(x >= b for x in bins)), 121)
+    out = [[] for _ in texts]
+    for f, b in zip(found, bins):
+        if b >= low and f[3] >= 0.01:
+            out[f[0]].append((f[1], f[2]))
+    return out
+
+
 def near(rows, size, percent):
     """{id: (set size, component)} for unique ids."""
     sets = {}

@@ -3,7 +3,9 @@
 import inspect
 import json
 import random
+import re
 import threading
+import time
 from collections import Counter
 
 import numpy as np
@@ -104,6 +106,55 @@ def test_lower_case_and_named_strings_are_tested(spark):
     assert secrets.secret_report(plain).where("n_random > 0").count() >= 15
 
 
+def encoding_of(value):
+    """The narrowest encoding, by plain rules."""
+    body = value.rstrip("=")
+    if not re.search("[0-9]", value) or not re.search("[A-Za-z]", value):
+        return None
+    for pattern, name, whole in (("[0-9a-f]+|[0-9A-F]+", "hex", value), ("[A-Z2-7]+", "base32", body), ("[A-Z0-9]+", "base36", body), ("[a-z2-7]+", "base32 lower", body), ("[a-z0-9]+", "base36 lower", body)):
+        if re.fullmatch(pattern, whole):
+            return name
+    return "base64" if re.search("[A-Z]", value) and re.search("[a-z]", value) else None
+
+
+def test_random_spans_match_brute_force(spark):
+    rng = random.Random(12)
+    draw = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(rng.choice((20, 22, 27, 32, 45, 64, 200))))
+    names = ["".join(rng.choice(("user", "Name", "get", "Value", "2", "HTTP", "config", "_", "/", "Path", "Report", "2021")) for _ in range(9)) for _ in range(150)]
+    texts = [None, "", *(f"é {rng.choice(names)} = {draw(rng.choice(list(secrets.ALPHABETS.values())))}{'=' * rng.randrange(3)} token={draw('abc123ABC')} {rng.choice(names)}" for _ in range(200))]
+    made = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random")] for r in secrets.secret_report(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    expected = brute.random_spans(texts, secrets.ALPHABETS, secrets.TEXT, encoding_of)
+    assert sum(map(len, expected)) > 60
+    different = [k for k in made if made[k] != expected[k]]
+    assert len(different) <= 2, [(texts[k], made[k], expected[k]) for k in different]
+
+
+def test_small_classes_of_names_are_left_alone(spark):
+    """Classes of a few strings, none of them random: nothing is found, whatever the lengths; one random string among them is."""
+    rng = random.Random(13)
+    words = ["invoice", "Total", "customer", "2021", "report", "Q3", "final", "Version2", "draft", "user", "Id42", "export", "Archive", "north"]
+    names = ["".join(rng.sample(words, k))[:n] for k in (4, 5, 6, 7) for n in (20, 24, 30, 37, 45) for _ in range(2)] + ["deadbeefdeadbeef0000", "00000000000000000001a", "ABCABCABC123123123ABC", "a1a1a1a1a1a1a1a1a1a1a1a1"]
+    given = [(i, f"see {v} there") for i, v in enumerate(names)]
+    assert secrets.secret_report(spark.createDataFrame(given, DOCS)).where("n_random > 0").count() <= 1
+    random_one = "".join(rng.choice(secrets.ALPHABETS["base64"][:62]) for _ in range(64))
+    found = secrets.secret_report(spark.createDataFrame([*given, (999, f"see {random_one} there")], DOCS)).where("n_random > 0").collect()
+    assert 999 in {r.doc_id for r in found} and len(found) <= 2
+
+
+def test_texts_of_very_many_matches(spark):
+    """50,000 matches in one text, and one match of a million characters: seconds, as work grows little faster than the text."""
+    rng = random.Random(14)
+    many = " ".join(f"token=abcdefgh{i} x" for i in range(50_000))
+    blob = "".join(rng.choice(secrets.ALPHABETS["base64"]) for _ in range(1_000_000))
+    docs = spark.createDataFrame([(1, many), (2, f"é {blob} z"), (3, many[:400_000] + blob[:5000])], DOCS)
+    began = time.perf_counter()
+    made = {r.doc_id: r for r in secrets.secret_report(docs).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, "#").collect()}
+    took = time.perf_counter() - began
+    assert made[1].n_assign == 50_000 and made[1].base_sha256 == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in brute.secrets(many)))
+    assert made[2].spans == "random:2:1000002" and clean[2] == "é # z" and clean[1] == " ".join(["# x"] * 50_000) and took < 90, took
+
+
 def test_no_python_on_the_way(spark):
     frame = spark.createDataFrame(SECRETS, DOCS)
     for df in (secrets.secret_report(frame), secrets.redact(frame)):
