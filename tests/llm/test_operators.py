@@ -555,6 +555,25 @@ def test_urls_match_brute_force(spark):
     assert urls.filter_urls(pages.where("false"), urls.rules_frame(spark, queries.URL_RULES)).count() == 0
 
 
+def test_prefixes_that_collide_are_confirmed(spark, monkeypatch):
+    """With one digit of the digest all but a few expressions meet wrong rules; broadcast or salted, the result is the same."""
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    listed = (*queries.URL_RULES, *(("block", f"host{i}.example/p{i}/") for i in range(60)), ("block", "net/p"), ("allow", "a.net/"))
+    expected = Counter((i, *brute.url(u, listed)) for i, u in enumerate(URLS))
+    for few in (100_000, 0):
+        monkeypatch.setattr(urls, "FEW_RULES", few)
+        made = urls.filter_urls(pages, urls.rules_frame(spark, listed), digits=1)
+        assert collected(made, "page_id", "host", "path", "rule", "verdict") == expected
+
+
+def test_urls_of_very_many_parts(spark):
+    """Work follows the forms of rules, not labels times segments."""
+    long = [(i, "http://" + "s." * 2000 + "net/" + "p/" * 20_000 + f"{i}") for i in range(40)]
+    began = time.perf_counter()
+    made = urls.filter_urls(spark.createDataFrame(long, "page_id long, url string"), urls.rules_frame(spark, queries.URL_RULES)).collect()
+    assert {r.verdict for r in made} == {"block"} and len(made) == 40 and time.perf_counter() - began < 20
+
+
 # -- 10: rules
 
 
