@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -22,12 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from requill.llm.common import texts
 
-#: Pieces and fragments that a worker remembers before it starts afresh.
-CACHE_PIECES, CACHE_FRAGMENTS = 300_000, 200_000
+#: Pieces and fragments that a worker remembers before it starts afresh, and the longest that it remembers: together they bound its memory.
+CACHE_PIECES, CACHE_FRAGMENTS, CACHE_LENGTH = 300_000, 200_000, 64
 #: Ids that a worker gathers before it gives rows out.
 OUT_IDS = 500_000
 #: The form of the files that the fast way follows.
@@ -63,6 +65,11 @@ class ForcedBoundaryBPE:
         return list(token)
 
     def merged(self, symbols: list[str]) -> tuple[int, ...]:
+        """Ids of a fragment: the pair of the least rank, the first of equals, is merged until none has a rank."""
+        symbols = self.merged_long(symbols) if len(symbols) > CACHE_LENGTH else self.merged_short(symbols)
+        return tuple(self.vocabulary[s] for s in symbols if s in self.vocabulary)
+
+    def merged_short(self, symbols: list[str]) -> list[str]:
         rank, never = self.ranks.get, len(self.ranks)
         ranks = [rank(p, never) for p in zip(symbols, symbols[1:], strict=False)]
         while ranks and (best := min(ranks)) < never:
@@ -73,7 +80,31 @@ class ForcedBoundaryBPE:
                 ranks[i - 1] = rank((symbols[i - 1], symbols[i]), never)
             if i < len(ranks):
                 ranks[i] = rank((symbols[i], symbols[i + 1]), never)
-        return tuple(self.vocabulary[s] for s in symbols if s in self.vocabulary)
+        return symbols
+
+    def merged_long(self, symbols: list[str]) -> list[str]:
+        """The same by a heap of pairs over linked neighbours: no more than a logarithm a merge."""
+        rank, n = self.ranks.get, len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := rank(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            # A pair whose left or right symbol has changed since has another rank, or is gone.
+            if not symbols[i] or j >= n or rank((symbols[i], symbols[j])) != r:
+                continue
+            symbols[i] += symbols[j]
+            symbols[j] = ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((symbols[i], symbols[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank((symbols[h], symbols[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return [s for s in symbols if s]
 
     def encode(self, symbols: list[str]) -> tuple[int, ...]:
         ids: list[int] = []
@@ -83,9 +114,11 @@ class ForcedBoundaryBPE:
                 part = tuple(symbols[start:i])
                 known = self.fragments.get(part)
                 if known is None:
-                    if len(self.fragments) >= CACHE_FRAGMENTS:
-                        self.fragments.clear()
-                    known = self.fragments[part] = self.merged(list(part))
+                    known = self.merged(list(part))
+                    if len(part) <= CACHE_LENGTH:
+                        if len(self.fragments) >= CACHE_FRAGMENTS:
+                            self.fragments.clear()
+                        self.fragments[part] = known
                 ids += known
                 start = i
         return tuple(ids)
@@ -99,10 +132,12 @@ class Pieces(dict):
         self.coder = coder
 
     def __missing__(self, piece: str) -> tuple[int, str, str]:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
         ids = self.coder.piece_ids(piece)
-        out = self[piece] = len(ids), " ".join(map(str, ids)), " ".join(self.coder.token[i] for i in ids)
+        out = len(ids), " ".join(map(str, ids)), " ".join(self.coder.token[i] for i in ids)
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = out
         return out
 
 
@@ -114,21 +149,28 @@ class Counts(dict):
         self.coder = coder
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        n = self[piece] = len(self.coder.piece_ids(piece))
+        n = len(self.coder.piece_ids(piece))
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = n
         return n
 
 
+def vocabulary_text(path: str) -> str:
+    """A vocabulary file, read on the driver: tasks get its text, and need no file of their own."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 class Coder:
-    """``(number of ids, ids joined by one space, decoded text)`` of a text."""
+    """``(number of ids, ids joined by one space, decoded text)`` of a text, by the text of a vocabulary file."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        spec = json.loads(vocabulary)
+        self.library = Tokenizer.from_str(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
         model, suffix = spec["model"], spec["model"].get("end_of_word_suffix") or ""
@@ -208,7 +250,7 @@ class Coder:
         return sum(counts), " ".join(filter(None, ids)), " ".join(filter(None, decoded))
 
 
-def coder(path: str, with_ids: bool):
+def coder(vocabulary: Broadcast, with_ids: bool):
     schema = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(schema + ([("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if with_ids else []))
 
@@ -221,23 +263,28 @@ def coder(path: str, with_ids: bool):
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Coder(path)
+        own = Coder(vocabulary.value)
         # The caches hold no cycles; walking them again and again in search of some costs a fifth of the time.
         gc.disable()
-        for batch in batches:
-            rows, gathered = [], 0
-            text = batch.column(1)
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                n, ids, decoded = own.code(text[i].as_py() or "")
-                row = (doc, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, np.array(ids.split(), np.int32), decoded) if with_ids else row)
-                gathered += n
-                if gathered >= OUT_IDS:
-                    yield packed(rows)
-                    rows, gathered = [], 0
-            if rows:
+        try:
+            for batch in batches:
+                yield from coded(own, batch)
+        finally:
+            gc.enable()
+
+    def coded(own: Coder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows, gathered = [], 0
+        text = batch.column(1)
+        for i, doc in enumerate(batch.column(0).to_pylist()):
+            n, ids, decoded = own.code(text[i].as_py() or "")
+            row = (doc, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+            rows.append((*row, np.array(ids.split(), np.int32), decoded) if with_ids else row)
+            gathered += n
+            if gathered >= OUT_IDS:
                 yield packed(rows)
-        gc.enable()
+                rows, gathered = [], 0
+        if rows:
+            yield packed(rows)
 
     return run
 
@@ -245,12 +292,14 @@ def coder(path: str, with_ids: bool):
 def encode_decode(documents: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
     """Encode every text as the tokenizers library does without added special tokens, and decode the ids again.
 
-    ``vocabulary`` is the path of a tokenizers file on every executor. One row
-    per input row: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by
+    ``vocabulary`` is the path of a tokenizers file on the driver, whose text is
+    broadcast (a few MB, whatever the input). One row per input row: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by
     one space), decoded_sha256 and, ``with_ids``, ids and decoded. A null text
     is empty: no ids, an empty decoded text. Special tokens written in a text
     are their ids. A null doc_id stays null, repeated rows stay, extra columns
-    are ignored. No shuffle; a worker keeps two bounded caches and one text.
+    are ignored. No shuffle; a worker keeps two bounded caches and one text. A
+    word of any length takes its symbols times the logarithm of their number.
     """
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return texts(documents).mapInArrow(coder(vocabulary, with_ids), ddl)
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary))
+    return texts(documents).mapInArrow(coder(shared, with_ids), ddl)

@@ -466,7 +466,7 @@ def test_encoding_equals_the_library(spark):
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    given, bpe_counter = list(enumerate(text_cases())), bpe.Coder(path)
+    given, bpe_counter = list(enumerate(text_cases())), bpe.Coder(bpe.vocabulary_text(path))
     made = {r.doc_id: r for r in bpe.encode_decode(clashing(spark.createDataFrame(given, DOCS)), path, with_ids=True).collect()}
     for i, text in given:
         ids = library.encode(text or "", add_special_tokens=False).ids
@@ -477,8 +477,42 @@ def test_encoding_equals_the_library(spark):
     assert bpe.encode_decode(spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], DOCS), path).count() == 3
 
 
+def test_very_long_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path, rng = queries.vocabulary_path(), random.Random(4)
+    library, coder = Tokenizer.from_file(path), bpe.Coder(bpe.vocabulary_text(path))
+    library.no_truncation()
+    library.no_padding()
+    for word in ("a" * 200_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "the" * 500 + "é" * 700, "ab" * 33):
+        began = time.perf_counter()
+        n, ids, decoded = coder.code(f"x {word} y")
+        assert time.perf_counter() - began < 15
+        expected = library.encode(f"x {word} y", add_special_tokens=False).ids
+        assert ids == " ".join(map(str, expected)) and decoded == library.decode(expected, skip_special_tokens=False)
+    assert max(map(len, coder.pieces), default=0) <= bpe.CACHE_LENGTH and max(map(len, coder.bpe.fragments), default=0) <= bpe.CACHE_LENGTH
+
+
+def test_lengths_of_a_table(spark):
+    """op6 end to end: the histogram of a table's texts against the library's lengths."""
+    from tokenizers import Tokenizer
+
+    path, given = queries.vocabulary_path(), [*enumerate(text_cases()), (3, "again"), (3, "again"), (None, "no id")]
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    values = [len(library.encode(t or "", add_special_tokens=False).ids) for _, t in given]
+    made = lengths.length_histogram(lengths.token_lengths(clashing(spark.createDataFrame(given, DOCS)), path))
+    expected = Counter((n, values.count(n), sum(v >= n for v in values), sum(v for v in values if v >= n), sum(min(v, n) for v in values)) for n in set(values))
+    assert collected(made, "n_tokens", "n_docs", "n_docs_from", "n_tokens_from", "truncated_total") == expected
+    for limit in (0, 1, 7, 1000, 10**6):
+        r = lengths.truncated_total(made, limit).first()
+        assert (r.n_tokens, r.kept, r.docs_cut) == (sum(values), sum(min(v, limit) for v in values), sum(v > limit for v in values))
+    for q in (0.0, 0.1, 0.5, 0.99, 1.0):
+        assert lengths.length_quantile(made, q).first().n_tokens == min(n for n in values if sum(v <= n for v in values) >= q * len(values))
+
+
 def test_forced_boundaries_never_part_a_token():
-    coder = bpe.Coder(queries.vocabulary_path())
+    coder = bpe.Coder(bpe.vocabulary_text(queries.vocabulary_path()))
     for token in list(coder.bpe.vocabulary)[::97]:
         symbols = coder.bpe.symbols(token)
         assert all(p in coder.bpe.inside for p in zip(symbols, symbols[1:], strict=False))
