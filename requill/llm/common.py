@@ -13,6 +13,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Entries a worker's word cache holds before it starts afresh; bounds its memory.
 CACHE_WORDS = 300_000
@@ -369,28 +371,44 @@ def texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def identified(documents: DataFrame) -> DataFrame:
-    """(row, doc_id, text): every row under a number of its own.
+def numbered(documents: DataFrame, name: str) -> DataFrame:
+    """``documents`` with a number of each row's own in the column ``name``, before all others.
 
     The number is a row's partition and place in it, which a table's files (or
     a checkpoint's) give alike each time they are read, also after the loss of
-    an executor. Repeated rows, shared ids and null ids stay apart.
+    an executor. Rows that come out of a shuffle have no such order, so these
+    are checkpointed first. Repeated rows, shared ids and null ids stay apart.
     """
-    return texts(documents).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if "Exchange" in documents._jdf.queryExecution().executedPlan().toString():
+        documents = cut(documents)
+    return documents.select(F.monotonically_increasing_id().alias(name), *(documents[c] for c in documents.columns))
+
+
+def identified(documents: DataFrame) -> DataFrame:
+    """(row, doc_id, text): every row under a number of its own; see ``numbered``."""
+    return numbered(texts(documents), "row")
+
 
+def beside(documents: DataFrame, compute, columns: str, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``documents`` (all, if not named) in a struct ``row``, and beside it ``columns``.
 
-def beside(documents: DataFrame, compute, columns: str) -> DataFrame:
-    """All columns of ``documents`` in a struct ``row``, and beside it ``columns``, which ``compute`` gives for the texts of a batch."""
-    rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"))
-    rows = rows.select("row", F.col("row.text").cast("string").alias("text"))
+    ``compute`` gives a tuple of values for each of a batch's texts (bytes; a
+    null text is empty). So what is found out about a row stays with it,
+    whatever its id, and no join is needed.
+    """
+    kept = documents.columns if carry is None else carry
+    rows = documents.select(F.struct(*(documents[c] for c in kept)).alias("row"), documents["text"].cast("string").alias("text"))
+    found = StructType.fromDDL(columns)
+    schema = StructType([rows.schema["row"], *found])
+    kinds = to_arrow_schema(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = compute([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["row", *names])
+            values = list(zip(*compute(raw(batch.column(1))), strict=True)) or [()] * len(kinds)
+            arrays = [pa.array(v, f.type) for v, f in zip(values, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["row", *kinds.names])
 
-    names = [c.split()[0] for c in columns.split(", ")]
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {columns}")
+    return rows.mapInArrow(run, schema)
 
 
 def workspace(spark: SparkSession) -> str:

@@ -14,15 +14,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from requill.llm.common import offsets, texts, word_chunks
+from requill.llm.common import CHUNK_WORDS, beside, offsets
 
 #: Every byte that ends a word becomes a space, and A-Z its lower case.
 TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 #: Words of benchmark items that are searched as one block; each block is a broadcast of about this size.
 BLOCK_WORDS = 500_000
+#: Blocks of a benchmark at most: about 50 million words, of some 100 bytes each in a worker's memory.
+MOST_BLOCKS = 100
 #: Every so many suffix positions one is kept.
 SAMPLE = 8
 
@@ -171,8 +173,7 @@ def occurrences(words: list[list[bytes]], block: Block) -> tuple[np.ndarray, np.
     return word[index.locate(rows)], which
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.string())])
-OUT_DDL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
+OUT_DDL = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -186,31 +187,40 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def scanner(blocks: list, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, words in word_chunks(batches, words_of):
-            off = offsets(words)
-            found: dict[int, tuple[list, set]] = {}
-            for shared in blocks:
-                block = shared.value
-                first, which = occurrences(words, block)
-                row = np.searchsorted(off, first, "right") - 1
-                order = np.argsort(row, kind="stable")
-                bounds = np.flatnonzero(np.diff(row[order])) + 1
-                for part in np.split(order, bounds) if len(order) else []:
-                    r = int(row[part[0]])
-                    spans, items = found.setdefault(r, ([], set()))
-                    a = first[part] - off[r]
-                    spans += _merged(a, a + block.sizes[which[part]])
-                    items.update(i for w in np.unique(which[part]).tolist() for i in block.items[w])
-            out = [[] for _ in OUT]
-            for r, doc in enumerate(cols["doc_id"]):
-                spans, items = found.get(r, ([], set()))
-                spans = _merged(np.array([a for a, _ in spans], np.int64), np.array([b for _, b in spans], np.int64))
-                n, hit = len(words[r]), sum(b - a for a, b in spans)
-                named = ",".join(sorted(map(str, items)))
-                for column, value in zip(out, (doc, n, hit, len(items), hashlib.sha256(named.encode()).hexdigest(), hit > 0 and 100 * hit >= percent * n, ",".join(f"{a}:{b}" for a, b in spans)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, OUT, strict=True)], schema=OUT)
+    """For a batch's texts the columns of OUT_DDL; a shard is about CHUNK_WORDS words of it."""
+
+    def shard(words: list[list[bytes]]) -> Iterator[tuple]:
+        off = offsets(words)
+        found: dict[int, tuple[list, set]] = {}
+        for shared in blocks:
+            block = shared.value
+            first, which = occurrences(words, block)
+            row = np.searchsorted(off, first, "right") - 1
+            order = np.argsort(row, kind="stable")
+            bounds = np.flatnonzero(np.diff(row[order])) + 1
+            for part in np.split(order, bounds) if len(order) else []:
+                r = int(row[part[0]])
+                spans, items = found.setdefault(r, ([], set()))
+                a = first[part] - off[r]
+                spans += _merged(a, a + block.sizes[which[part]])
+                items.update(i for w in np.unique(which[part]).tolist() for i in block.items[w])
+        for r in range(len(words)):
+            spans, items = found.get(r, ([], set()))
+            spans = _merged(np.array([a for a, _ in spans], np.int64), np.array([b for _, b in spans], np.int64))
+            n, hit = len(words[r]), sum(b - a for a, b in spans)
+            named = ",".join(sorted(map(str, items)))
+            yield n, hit, len(items), hashlib.sha256(named.encode()).hexdigest(), hit > 0 and 100 * hit >= percent * n, ",".join(f"{a}:{b}" for a, b in spans)
+
+    def run(texts: list[bytes]) -> Iterator[tuple]:
+        words, n = [], 0
+        for text in texts:
+            words.append(words_of(text))
+            n += len(words[-1])
+            if n >= CHUNK_WORDS:
+                yield from shard(words)
+                words, n = [], 0
+        if words:
+            yield from shard(words)
 
     return run
 
@@ -219,6 +229,7 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK
     """The benchmark as broadcast blocks of bounded size; its rows come to the driver one partition at a time.
 
     Items without words, or with a null id, are left out: the former occur nowhere and the latter have no name.
+    More than MOST_BLOCKS blocks raise a ValueError: that is no query set any more.
     """
     sc = benchmark.sparkSession.sparkContext
     blocks, items, n = [], {}, 0
@@ -228,6 +239,8 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK
         items[row.item, row.text] = (row.item, text)
         n += len(words_of(text))
         if n >= block_words:
+            if len(blocks) >= MOST_BLOCKS:
+                raise ValueError(f"the benchmark has more than {MOST_BLOCKS} blocks of {block_words} words")
             blocks.append(sc.broadcast(Block.of(list(items.values()), window)))
             items, n = {}, 0
     if items:
@@ -235,6 +248,11 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK
     return blocks
 
 
+def judged(documents: DataFrame, benchmark: DataFrame, window: int, percent: int, block_words: int, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns ``carry``) and the columns of OUT_DDL; see ``find_contamination``."""
+    return beside(documents, scanner(benchmark_blocks(benchmark, window, block_words), percent), OUT_DDL, carry)
+
+
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Words of documents that lie in any occurrence of a benchmark window.
 
@@ -248,6 +266,13 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
 
     No shuffle of documents: the benchmark, a stated query set, goes to every
     shard in blocks of ``block_words`` words; each shard is indexed for a block
-    at a time.
+    at a time. A benchmark of more than MOST_BLOCKS blocks is refused, as every
+    worker keeps all of them.
     """
-    return texts(documents).mapInArrow(scanner(benchmark_blocks(benchmark, window, block_words), percent), OUT_DDL)
+    found = judged(documents, benchmark, window, percent, block_words, ["doc_id"])
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), *(c for c in found.columns if c != "row"))
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``documents`` that ``find_contamination`` doesn't call contaminated, as they are, whatever their ids."""
+    return judged(documents, benchmark, window, percent, block_words).where("NOT contaminated").select("row.*")

@@ -9,16 +9,14 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from requill.llm.common import cut, texts
+from requill.llm.common import beside, cut
 
 SYMBOLS = b"#*$%&|<>"
-FEATURES = pa.schema([(k, pa.int64()) for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_distinct_words", "n_plain_words")])
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_distinct_words", "n_plain_words")
 
 
 def measures(text: bytes) -> tuple[int, ...]:
@@ -41,17 +39,9 @@ def measures(text: bytes) -> tuple[int, ...]:
     return n, chars, symbols, dup, repeat, len(lines), upper, len(set(words)), plain
 
 
-def features(documents: DataFrame) -> DataFrame:
-    """One row of measures per document; a null text has none of anything."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(1).cast(pa.binary())
-            rows = [measures(text[i].as_py() or b"") for i in range(batch.num_rows)]
-            columns = list(zip(*rows, strict=True)) or [[] for _ in range(len(FEATURES) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], schema=FEATURES)
-
-    return texts(documents).mapInArrow(run, ", ".join(f"{k} long" for k in FEATURES.names))
+def features(documents: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns ``carry``) and measures of every document; a null text has none of anything."""
+    return beside(documents, lambda texts: [measures(t) for t in texts], ", ".join(f"{k} long" for k in FEATURES), carry)
 
 
 def rule_votes() -> dict[str, Column]:
@@ -124,6 +114,21 @@ class LabelModel:
         return self
 
 
+def judged(documents: DataFrame, threshold: float, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns ``carry``), measures, base_failed, kept and p_quality; see ``quality``."""
+    votes = rule_votes()
+    measured = cut(features(documents, carry).withColumn("votes", F.array(*votes.values()).cast("array<tinyint>")))
+    patterns = {tuple(r.votes): r["count"] for r in measured.groupBy("votes").count().collect()}
+    model = LabelModel(len(votes)).fit(patterns) if patterns else LabelModel(len(votes))
+    odds = F.lit(math.log(model.prior / (1 - model.prior)))
+    for j, (low, mid, high) in enumerate(model.weights()):
+        vote = F.col("votes")[j]
+        odds = odds + F.when(vote < 0, low).when(vote > 0, high).otherwise(mid)
+    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    p = 1 / (1 + F.exp(-odds))
+    return measured.select("row", *FEATURES, base_failed.alias("base_failed"), (~base_failed & (p >= threshold)).alias("kept"), p.alias("p_quality"))
+
+
 def quality(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Measures, base rule and weakly supervised verdict of every document.
 
@@ -135,14 +140,9 @@ def quality(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     empty table gives no rows. Only the counts of vote patterns (at most 3 to
     the number of rules) reach the driver; each document is read once.
     """
-    votes = rule_votes()
-    measured = cut(features(documents).withColumn("votes", F.array(*votes.values()).cast("array<tinyint>")))
-    patterns = {tuple(r.votes): r["count"] for r in measured.groupBy("votes").count().collect()}
-    model = LabelModel(len(votes)).fit(patterns) if patterns else LabelModel(len(votes))
-    odds = F.lit(math.log(model.prior / (1 - model.prior)))
-    for j, (low, mid, high) in enumerate(model.weights()):
-        vote = F.col("votes")[j]
-        odds = odds + F.when(vote < 0, low).when(vote > 0, high).otherwise(mid)
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    p = 1 / (1 + F.exp(-odds))
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & (p >= threshold)).alias("kept"), p.alias("p_quality"))
+    return judged(documents, threshold, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), *FEATURES[:5], "base_failed", "kept", "p_quality")
+
+
+def kept_documents(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` that ``quality`` keeps, as they are, whatever their ids."""
+    return judged(documents, threshold).where("kept").select("row.*")

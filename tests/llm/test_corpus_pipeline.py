@@ -1,10 +1,12 @@
 """The pipeline's stages against plain Python, on the small table."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from requill.llm import queries
+from requill.llm import common, queries
 from tests.llm import brute
 
 pytestmark = pytest.mark.filterwarnings("ignore")
@@ -39,13 +41,45 @@ def test_stages_keep_decisions(spark, small):
     assert {r.doc_id: r.ids_sha256 for r in final.collect()} == {r.doc_id: r.ids_sha256 for r in docs.collect()}
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, secret=""):
+    """Some 120 different words that the rules keep."""
+    return " ".join(f"word{chr(97 + i % 26)}{chr(97 + seed % 26)} text{chr(97 + (i * 7 + seed) % 26)}{chr(97 + i % 23)}" for i in range(60)) + secret
+
+
 def test_awkward_documents(spark, small):
-    rows = [(1, None, "en", "s", 0), (None, "word " * 80, "en", "s", 1), (2, " ".join(f"w{i} x{i * 7}" for i in range(60)) + " password=abcdefgh1", "en", "s", 5), (2, " ".join(f"w{i} x{i * 7}" for i in range(60)) + " password=abcdefgh1", "en", "s", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("votes", F.lit("x"))
+    """Rows without an id and rows that share one are judged for themselves; of repeated rows one stays."""
+    rows = [(1, None, "en", "s", 0), (None, "word " * 80, "en", "s", 1)]
+    rows += [(2, prose(1, " password=abcdefgh1"), "en", "s", 5)] * 2 + [(2, prose(2), "en", "s", 5), (None, prose(3), "en", "s", 5), (None, prose(4), "en", "s", 5), (None, prose(4), "en", "s", 5)]
+    rows += [(None, prose(5), "de", "t", 5), (9, prose(5), "de", "t", 5), (8, prose(5), "de", "t", 5)]
+    docs = spark.createDataFrame(rows, COLUMNS).withColumn("votes", F.lit("x")).withColumn("row", F.lit("y"))
+    seen = []
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, small)
-    assert {r.doc_id for r in docs.collect()} <= {2}
-    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+        seen.append(Counter((r.doc_id, getattr(r, "text", None)) for r in docs.collect()))
+    assert seen[0] == Counter((r[0], r[1]) for r in rows[2:])
+    assert seen[1] == Counter([(2, rows[2][1]), (2, rows[4][1]), (None, rows[5][1]), (None, rows[6][1]), (8, rows[10][1])]) == seen[2]
+    assert seen[3] == Counter((i, prose(1, " [SECRET]") if t == rows[2][1] else t) for i, t in seen[1])
+    assert Counter(i for i, _ in seen[4].elements()) == Counter([2, 2, None, None, 8])
+    empty = spark.createDataFrame([], COLUMNS)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, small).count() == 0, name
     assert queries.queries()
+
+
+def test_very_long_documents(spark, small):
+    """A long word, a text of very many secrets and one of very many lines go through all stages."""
+    long = [prose(6) + " " + "x" * 100_000, prose(7) + " " + " ".join(f"token=abcdefgh{i} a{i}b" for i in range(5000)), "\n".join(prose(8 + i % 7) + f" line{i}" for i in range(300))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(long)], COLUMNS)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, docs, small)
+    assert sorted(r.doc_id for r in docs.collect()) == [0, 1, 2]
+
+
+def test_stages_after_a_shuffle(spark, small):
+    """Near-dedup numbers rows, so rows without an order of their own are checkpointed first."""
+    docs = spark.createDataFrame([(i % 3, prose(i % 4), "en", "s", 1) for i in range(40)], COLUMNS).repartition(7)
+    assert "Exchange" not in common.numbered(docs, "row")._jdf.queryExecution().executedPlan().toString()
+    assert corpus_pipeline.near_dedup(spark, docs, small).count() == 4
