@@ -6,29 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from requill.llm import bpe, decontam, neardup, rules, secrets
-from requill.llm.common import cut
+from requill.llm.common import cut, numbered
 from requill.llm.queries import table, vocabulary_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def chosen(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Documents whose id ``keep`` lists; other ids, and rows without an id, go."""
-    return docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return chosen(docs, rules.quality(docs).where("kept"))
+    """Rows that the rules reject go, those without words among them; a verdict stays with its row, whatever the id."""
+    return rules.kept_documents(docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; of rows that share an id, all or none."""
-    return chosen(docs, neardup.near_duplicates(docs).where("kept"))
+    """One row of each group of near copies stays: that of the least doc_id, and of equal ids the first; null ids come last.
+
+    Rows are told apart by a number of their own, so repeats of a row go too and
+    rows without an id are looked at like others. Rows without words stay.
+    """
+    rows = numbered(docs.select(*COLUMNS), "row")
+    groups = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
+    first = groups.join(rows.select("row", "doc_id"), "row").groupBy("group").agg(F.min(order)["c"].alias("row"))
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark contaminates go; those with a few words of it stay whole."""
-    return chosen(docs, decontam.find_contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated"))
+    return decontam.clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +42,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, beside what identifies and checks them."""
+    """The ids of every text, beside what identifies and checks them; lang and source have served by now, as they chose nothing."""
     return bpe.encode_decode(docs, vocabulary_path(), with_ids=True).drop("decoded")
 
 
