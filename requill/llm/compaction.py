@@ -10,10 +10,13 @@ import json
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Groups of shards that one job merges; the next job follows it.
+JOB_GROUPS = 500
 #: Times that a change is tried again on top of what another writer has committed.
 TRIES = 20
 
@@ -164,36 +167,51 @@ class ShardStore:
         return tier
 
     def plan(self, manifest: Manifest) -> list[list[Shard]]:
-        """For each tier that has ``fanout`` shards under half the target its shards, which one round merges."""
+        """Groups of two shards or more, each to become one: for every tier with ``fanout`` shards under half the target.
+
+        A tier's shards fill groups in the order they came, up to the target's
+        bytes. As all are under half the target, a group is over half of it but
+        for a tier's last.
+        """
         tiers: dict[int, list[Shard]] = {}
         for shard in sorted(manifest.shards, key=lambda s: (s.order, s.path)):
             if 2 * shard.size < self.target:
                 tiers.setdefault(self.tier(shard.size), []).append(shard)
-        return [shards for _, shards in sorted(tiers.items()) if len(shards) >= self.fanout]
+        groups: list[list[Shard]] = []
+        for _, shards in sorted(tiers.items()):
+            if len(shards) >= self.fanout:
+                size = self.target
+                for shard in shards:
+                    if size + shard.size > self.target:
+                        groups.append([])
+                        size = 0
+                    groups[-1].append(shard)
+                    size += shard.size
+        return [g for g in groups if len(g) > 1]
 
     def compact(self) -> Manifest:
-        """Merge the shards of full tiers until no tier is full; each round is one job without a shuffle, and one commit.
+        """Merge shards of full tiers until no tier is full; a round is committed at once.
 
-        Spark's own packing of files into partitions of at most the target's
-        bytes makes the groups, and each partition writes one file: as all
-        shards are under half the target, a group is over half of it but for a
-        tier's last. Merged shards stay for older versions. What is left
-        are fewer than ``fanout`` small shards a tier.
+        A round's groups are merged side by side, JOB_GROUPS of them in a job, each
+        read and written by one task without a shuffle. Merged shards stay for
+        older versions. Every round leaves fewer shards, and at the end fewer
+        than ``fanout`` small ones are left in a tier.
         """
         made = self.manifest()
-        while tiers := self.plan(made):
+        session = self.spark.newSession()
+        # Else a union of single partitions would be a single partition.
+        session.conf.set("spark.sql.unionOutputPartitioning", "false")
+        while groups := self.plan(made):
             run = f"run-{uuid.uuid4().hex}"
-            session = self.spark.newSession()
-            # A partition is as many whole files as fit the target; nothing is cut to feed all cores.
-            for key, value in {"maxPartitionBytes": self.target, "openCostInBytes": 0, "minPartitionNum": 1}.items():
-                session.conf.set(f"spark.sql.files.{key}", str(value))
-            rows = None
-            for shards in tiers:
-                part = self._rows(shards, session)
-                rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-            rows.write.parquet(f"{self.path}/data/{run}")
-            merged = [s for shards in tiers for s in shards]
-            made = self.change(self._written(run, max(s.order for s in merged)), merged)
+            schema = self._rows([s for g in groups for s in g]).schema
+            written = []
+            for start in range(0, len(groups), JOB_GROUPS):
+                part = f"{run}/{start // JOB_GROUPS}"
+                chosen = groups[start : start + JOB_GROUPS]
+                rows = [session.read.schema(schema).parquet(*self._paths(g)).coalesce(1) for g in chosen]
+                reduce(DataFrame.union, rows).write.parquet(f"{self.path}/data/{part}")
+                written += self._written(part, max(s.order for g in chosen for s in g))
+            made = self.change(written, [s for g in groups for s in g])
         return made
 
     def vacuum(self, versions: int = 1, seconds: float = 7 * 24 * 3600) -> None:
@@ -227,8 +245,11 @@ class ShardStore:
             if v not in kept:
                 self._fs.delete(self._path(f"{self.path}/_manifest/{v:012d}.json"), False)
 
-    def _rows(self, shards: list[Shard], session: SparkSession | None = None) -> DataFrame:
-        return (session or self.spark).read.option("mergeSchema", "true").parquet(*(f"{self.path}/data/{s.path}" for s in shards))
+    def _paths(self, shards: list[Shard]) -> list[str]:
+        return [f"{self.path}/data/{s.path}" for s in shards]
+
+    def _rows(self, shards: list[Shard]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(*self._paths(shards))
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version that ``vacuum`` hasn't taken. A store without shards has no schema and can't be read."""

@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from requill.llm.common import batches_of, cut
+from requill.llm.common import batches_of, cut, thin
 
-#: Links that a task contracts at a time, and partitions of links that one such task reads.
-FOREST_LINKS, FOREST_PARTITIONS = 500_000, 16
+#: Links that a task contracts at a time.
+FOREST_LINKS = 500_000
 
 
 def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars (a, b), b the least id, over what blocks of links connect: no more than a link for each id and block."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """(id, centre) for each id of a block of links, the centre being the least id that the block connects it to."""
+    schema = pa.schema([("node", pa.int64()), ("centre", pa.int64())])
 
     def contracted() -> Iterator[pa.RecordBatch]:
         links = np.concatenate(parts, axis=1)
@@ -32,8 +32,7 @@ def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (new == label).all():
                 break
             label = new
-        moved = np.flatnonzero(label != np.arange(len(ids)))
-        yield from batches_of(schema, [ids[moved], ids[label[moved]]])
+        yield from batches_of(schema, [ids, ids[label]])
 
     parts: list[np.ndarray] = []
     rows = 0
@@ -57,7 +56,7 @@ def _rounds(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        current = cut(small.select("e.a", "e.b").where("a <> b").distinct())
+        current = cut(thin(small.select("e.a", "e.b").where("a <> b").distinct()))
         now = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("h")).first()
         if state == (now.n, now.h):
             break
@@ -69,28 +68,25 @@ def _rounds(links: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every id in ``edges`` (a, b): root is the least id reachable, the node itself included.
 
-    Blocks of links are contracted within tasks to stars first. An id takes the
-    least of its blocks' centres; what it tells is which centres belong
-    together, so only centres go through the rounds of alternating stars, whose
-    number grows with the logarithm of the longest chain. An id has no more
-    centres than there are blocks, so no key of those rounds has many rows
-    because a component is large. Repeated links and links of an id with itself
-    are fine; no edges give no rows.
+    Blocks of links are contracted within tasks first. An id takes the least of
+    its blocks' centres; what it tells besides is which centres belong
+    together, so only centres need more: one task if their links fit a block,
+    else rounds of alternating stars, whose number grows with the logarithm of
+    the longest chain. An id has no more centres than there are blocks, so no
+    key of those rounds has many rows because a component is large. Repeated
+    links and links of an id with itself are fine; no edges give no rows.
     """
-    ids = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
-    # Cut here, as both the loop and the result read the links.
-    ids = cut(ids.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    alone = ids.where("a = b").select(F.col("a").alias("node"))
-    few = max(1, ids.rdd.getNumPartitions() // FOREST_PARTITIONS)
-    stars = cut(ids.where("a <> b").coalesce(few).mapInArrow(forests, "a long, b long"))
-    own = stars.groupBy("a").agg(F.min("b").alias("p"))
-    centres = stars.select("b").distinct()
-    between = stars.join(own, "a").where("b > p").select(F.col("b").alias("a"), F.col("p").alias("b"))
-    between = cut(between.unionByName(own.join(centres, own["a"] == centres["b"], "left_semi").select("a", F.col("p").alias("b"))).distinct())
-    linked = own.select(F.col("a").alias("node"), F.col("p")).unionByName(centres.join(own, own["a"] == centres["b"], "left_anti").select(F.col("b").alias("node"), F.col("b").alias("p")))
-    if between.isEmpty():
-        linked = linked.withColumnRenamed("p", "root")
+    links = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
+    blocks = thin(links).mapInArrow(forests, "node long, centre long")
+    ids = cut(thin(blocks.groupBy("node").agg(F.collect_set("centre").alias("centres"))).select("node", F.array_min("centres").alias("p"), "centres"))
+    between = ids.where(F.size("centres") > 1).select(F.explode("centres").alias("a"), F.col("p").alias("b")).where("a <> b")
+    between = cut(thin(between.distinct()))
+    n = between.count()
+    linked = ids.select("node", "p")
+    if not n:
+        return linked.withColumnRenamed("p", "root")
+    if n < FOREST_LINKS:
+        rooted = between.coalesce(1).mapInArrow(forests, "p long, root long")
     else:
         rooted = _rounds(between).select(F.col("node").alias("p"), "root")
-        linked = linked.join(rooted, "p", "left").select("node", F.coalesce("root", "p").alias("root"))
-    return linked.unionByName(alone.join(linked, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return linked.join(rooted, "p", "left").select("node", F.coalesce("root", "p").alias("root"))

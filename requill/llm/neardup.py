@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from requill.llm.common import U64, WordHashes, batches_of, cut, grouped, mix, offsets, signed, texts, window_hashes, word_chunks
+from requill.llm.common import U64, WordHashes, batches_of, cut, grouped, mix, offsets, signed, texts, thin, window_hashes, word_chunks
 from requill.llm.graph import components
 
 #: Sought chance to miss a pair that is just similar enough.
@@ -318,19 +318,20 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int)
     yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
     blocks_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    members = clusters.join(sizes, "root").withColumn("blocks", blocks_of("n")).withColumn("block", F.pmod(F.hash("node"), "blocks"))
+    members = thin(clusters.join(thin(sizes), "root")).withColumn("blocks", blocks_of("n")).withColumn("block", F.pmod(F.hash("node"), "blocks"))
     home = members.select("root", F.col("block").alias("p"), zero.alias("q"), yes.alias("is_left"), yes.alias("is_right"), "node")
     pivots = members.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("node"), "n") < PIVOTS))
     pivots = pivots.withColumn("p", F.explode(F.sequence(zero, F.col("blocks") - 1))).where("p <> block")
-    first = cut(compared(home.unionByName(pivots.select("root", "p", zero.alias("q"), no.alias("is_left"), yes.alias("is_right"), "node"))))
+    first = cut(thin(compared(home.unionByName(pivots.select("root", "p", zero.alias("q"), no.alias("is_left"), yes.alias("is_right"), "node")))))
     large = cut(members.where("blocks > 1").select("root", "node", "n", "blocks"))
     if large.isEmpty():
         return first
     near = components(first.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
-    own = large.join(near.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    parts = own.groupBy("root", "part").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("root").agg(F.max(F.struct("size", "part")).alias("most"))
-    own = own.join(largest, "root").where(F.col("most.size") < F.col("n")).withColumn("rest", F.col("n") - F.col("most.size"))
+    own = cut(thin(large.join(near.withColumnRenamed("root", "part"), "node", "left")).withColumn("part", F.coalesce("part", "node")))
+    parts = thin(own.groupBy("root", "part").agg(F.count("*").alias("size")))
+    # Cut, so that the join has no aggregate beside it and a cluster of very many members can be split.
+    largest = cut(thin(parts.groupBy("root").agg(F.max(F.struct("size", "part")).alias("most"))))
+    own = thin(own.join(largest, "root")).where(F.col("most.size") < F.col("n")).withColumn("rest", F.col("n") - F.col("most.size"))
     # Salted hashes: members of one block above fall into different ones here.
     own = own.withColumn("rows", blocks_of("rest")).withColumn("at", F.xxhash64("node", F.lit(1)))
     left = own.where("part <> most.part").withColumn("q", F.explode(F.sequence(zero, F.col("blocks") - 1)))
@@ -344,7 +345,7 @@ def _judged(classes: DataFrame, keyed: DataFrame, least: int) -> DataFrame:
     """Links of ``linker`` between members of keys, judged; see ``judge``."""
     links = keyed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(linker, "a long, b long").distinct()
     own = lambda side: classes.select(F.col("rep").alias(side), F.col("mh").alias(f"mh_{side}"))
-    pairs = links.join(own("a"), "a").join(own("b"), "b").select("a", "b", "mh_a", "mh_b")
+    pairs = thin(thin(thin(links).join(own("a"), "a")).join(own("b"), "b").select("a", "b", "mh_a", "mh_b"))
     return cut(pairs.mapInArrow(judge(least), "a long, b long, key long"))
 
 
@@ -366,31 +367,31 @@ def candidates(classes: DataFrame, least: int) -> DataFrame:
     early = agreed(_judged(classes, keys(classes.withColumn("root", F.col("rep")), "some"), least))
     judged = _judged(classes, keys(rooted(components(early)), "first"), least)
     good = cut(early.unionByName(agreed(judged)))
-    clusters = cut(components(good))
+    clusters = cut(thin(components(good)))
     named = lambda side: clusters.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    bad = judged.where(F.col("key") != NONE).join(named("a"), "a", "left").join(named("b"), "b", "left")
-    open_keys = cut(bad.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("key").distinct())
+    bad = thin(thin(judged.where(F.col("key") != NONE).join(named("a"), "a", "left")).join(named("b"), "b", "left"))
+    open_keys = cut(thin(bad.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("key").distinct()))
     n = open_keys.count()
     if not n:
         return clusters
     small = F.broadcast if n <= FEW_KEYS else lambda frame: frame
-    members = cut(keys(rooted(clusters), "all").join(small(open_keys), "key", "left_semi"))
-    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    members = cut(thin(keys(rooted(clusters), "all").join(small(open_keys), "key", "left_semi")))
+    sizes = thin(members.groupBy("key", "root").agg(F.count("*").alias("n")))
     # Cut, so that the join below has no aggregate beside it and a key of very many members can be split.
-    largest = cut(sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most")))
+    largest = cut(thin(sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"))))
     outside = cut(members.join(small(largest), "key").where("root <> most").select("key", "doc", "root", "most"))
     met = outside.select("most").distinct().withColumnRenamed("most", "root")
     row = lambda part, g: (F.lit(part).alias("part"), F.col(g).alias("g"), "doc", "root")
     left = outside.select(*row(0, "most")).distinct().unionByName(outside.select(*row(1, "key")))
     right = members.select("doc", "root").distinct().join(met, "root", "left_semi").select(*row(0, "root")).unionByName(outside.select(*row(1, "key")))
     both = left.withColumn("is_left", F.lit(True)).unionByName(right.withColumn("is_left", F.lit(False)))
-    both = cut(both.join(classes.mapInArrow(shortener, "doc long, short binary"), "doc"))
+    both = cut(thin(thin(both).join(classes.select("rep", "mh").mapInArrow(shortener, "doc long, short binary"), "doc")))
     blocks = lambda is_left, rows: F.greatest(F.ceil(F.sum((F.col("is_left") == is_left).cast("long")) / rows), F.lit(1)).cast("int")
     counts = both.groupBy("part", "g").agg(blocks(True, ROWS).alias("ps"), blocks(False, COLUMNS).alias("qs"))
     own_block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # Where only one block stands on the other side, as nearly always, no row is sent twice.
-    dealt = both.join(counts, ["part", "g"])
+    dealt = thin(both.join(cut(thin(counts)), ["part", "g"]))
     lefts = dealt.where("is_left").withColumn("p", own_block("ps")).withColumn("q", all_blocks("qs"))
     rights = dealt.where("NOT is_left").withColumn("q", own_block("qs")).withColumn("p", all_blocks("ps"))
     columns = ("part", "g", "p", "q", "doc", "root", "short", "is_left")
@@ -424,7 +425,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     m = collection_size(similarity)
     docs = texts(documents)
     sketches = cut(docs.mapInArrow(sketcher(shingle, 4 * m), "doc_id long, n_shingles long, s1 long, s2 long, mh array<int>"))
-    classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("mh").alias("mh"))
+    classes = cut(sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("mh").alias("mh")))
     clusters = candidates(classes.select("rep", "mh"), least_agreement(similarity, 4 * m))
     found = components(_confirmed(docs, clusters, shingle, percent))
     merged = classes.select("s1", "s2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
