@@ -38,8 +38,8 @@ class Equivalence:
         return text
 
 
-def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows whose numbers of copies differ: c0.., copies_left, copies_right.
+def counted(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Copies of every row on both sides: c0.., copies_left, copies_right.
 
     One shuffle of pre-aggregated counts: sides are tagged, united and grouped,
     so a row that fills a third of a side sends one count a task.
@@ -50,8 +50,12 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
         raise TypeError(f"column {i + 1} is {left.schema[i].dataType.simpleString()} and {right.schema[i].dataType.simpleString()}")
     tagged = normalised(left, kinds).withColumn("side", F.lit(1)).union(normalised(right, kinds).withColumn("side", F.lit(-1)))
     keys = [c for c in tagged.columns if c != "side"]
-    counted = tagged.groupBy(*keys).agg(F.count_if(F.col("side") == 1).alias("copies_left"), F.count_if(F.col("side") == -1).alias("copies_right"))
-    return counted.where("copies_left <> copies_right")
+    return tagged.groupBy(*keys).agg(F.count_if(F.col("side") == 1).alias("copies_left"), F.count_if(F.col("side") == -1).alias("copies_right"))
+
+
+def difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows whose numbers of copies differ: c0.., copies_left, copies_right."""
+    return counted(left, right).where("copies_left <> copies_right")
 
 
 def compare_frames(original: DataFrame, candidate: DataFrame, limit: int | None = None) -> Equivalence:
@@ -67,18 +71,22 @@ def compare_frames(original: DataFrame, candidate: DataFrame, limit: int | None
         if limit is not None and any(df.limit(limit + 1).count() > limit for df in (original, candidate)):
             return Equivalence(None, f"more than {limit} rows")
         try:
-            diff = difference(original, candidate)
+            both = counted(original, candidate)
         except TypeError as e:
             return Equivalence(False, str(e), columns=len(original.columns))
-        less, more = F.greatest(F.col("copies_left") - F.col("copies_right"), F.lit(0)), F.greatest(F.col("copies_right") - F.col("copies_left"), F.lit(0))
-        total = diff.agg(F.coalesce(F.sum(less), F.lit(0)).alias("missing"), F.coalesce(F.sum(more), F.lit(0)).alias("extra")).first()
-        if not total.missing and not total.extra:
-            return Equivalence(True, "", original.count(), len(original.columns))
-        keys = [c for c in diff.columns if not c.startswith("copies_")]
-        rows = lambda test: tuple(tuple(r) for r in diff.where(test).select(*keys).limit(EXAMPLES).collect())
-        return Equivalence(False, f"{total.missing} rows missing, {total.extra} rows extra", original.count(), len(original.columns), rows("copies_left > copies_right"), rows("copies_left < copies_right"), total.missing, total.extra)
+        gap = F.col("copies_left") - F.col("copies_right")
+        total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+        # Each side is computed once: sizes and differences come from one aggregate.
+        found = both.agg(total("copies_left").alias("rows"), total(F.greatest(gap, F.lit(0))).alias("missing"), total(F.greatest(-gap, F.lit(0))).alias("extra")).first()
+        if not found.missing and not found.extra:
+            return Equivalence(True, "", found.rows, len(original.columns))
+        keys = [c for c in both.columns if not c.startswith("copies_")]
+        rows = lambda test: tuple(tuple(r) for r in both.where(test).select(*keys).limit(EXAMPLES).collect())
+        missing, extra = rows("copies_left > copies_right") if found.missing else (), rows("copies_left < copies_right") if found.extra else ()
+        return Equivalence(False, f"{found.missing} rows missing, {found.extra} rows extra", found.rows, len(original.columns), missing, extra, found.missing, found.extra)
     except Exception as e:
-        return Equivalence(False, f"comparison failed: {message(e)}")
+        # That the cluster failed says nothing of the rows.
+        return Equivalence(None, f"comparison failed: {message(e)}")
 
 
 def compare(engine: Engine, original: str, candidate: str, limit: int | None = None) -> Equivalence:

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from requill.plans.catalyst import message
-from requill.sources.catalog import Catalog
+from requill.sources.catalog import Catalog, ForeignKey
 from requill.sources.engine import Engine
-from requill.types import ForeignKey
 
 
 @dataclass
@@ -73,7 +72,10 @@ def build_sample(engine: Engine, catalog: Catalog, percent: float = 1.0, max_row
             rows = target.spark.read.parquet(f"{engine.folder}/{table}.parquet")
             keys = [k for k in catalog.foreign_keys if k.child == table and k.parent in made]
             rows = with_parents(rows, keys, made) if keys else rows.sample(max(percent, 0.0001) / 100, seed)
-            rows = rows.limit(max_rows).cache()
+            rows = rows.cache()
+            if rows.count() > max_rows:
+                # By a hash of the whole row, so that the same rows stay each time.
+                rows = rows.orderBy(F.xxhash64(F.lit(seed), F.struct(*rows.columns)), *(c for c, t in rows.dtypes if not t.startswith("map"))).limit(max_rows).cache()
             stats.counts[table] = rows.count()
             made[table] = rows
             target.register(table, rows)

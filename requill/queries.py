@@ -12,8 +12,7 @@ from requill.operators.equivalence import difference
 from requill.operators.ranking import MEASUREMENTS, by_strategy, ranked, summary
 from requill.operators.sampling import dangling, hashed_sample, with_parents
 from requill.operators.shapes import SHAPES, Tables
-from requill.sources.catalog import STAR, fan_in_counts
-from requill.types import ForeignKey
+from requill.sources.catalog import STAR, ForeignKey, fan_in_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = {f"{k.child}_{k.parent}": k for k in map(ForeignKey.of, STAR["foreign_keys"])}

@@ -7,16 +7,49 @@ import statistics
 import threading
 import time
 import uuid
+from collections import Counter
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
 from requill.plans.catalyst import message
 from requill.plans.guard import check_statement, query
-from requill.types import Plan, Result, Timing
 
 ERROR_TEXT, PLAN_TEXT = 300, 4000
 
 
+class Page(NamedTuple):
+    """The first rows of a result, and whether there are more."""
+
+    columns: list[str]
+    rows: list[tuple]
+    more: bool
+
+
+class Timing(NamedTuple):
+    """Median milliseconds of full runs, or what went wrong."""
+
+    median_ms: float
+    runs: int
+    error: str = ""
+
+    @property
+    def ok(self) -> bool:
+        return not self.error
+
+
+class PlanFacts(NamedTuple):
+    """What Spark did in a run: tables scanned, those without a filter that could skip files, joins, reads of the table read most, and the plan."""
+
+    execution_ms: float
+    scans: list[str]
+    unfiltered_scans: list[str]
+    joins: list[str]
+    max_loops: int
+    text: str
+
+
 def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -47,14 +80,17 @@ class Engine:
     def query(self, sql: str) -> DataFrame:
         return query(self.spark, sql)
 
-    def fetch(self, sql: str, limit: int = 1000) -> Result:
+    def fetch(self, sql: str, limit: int = 1000) -> Page:
         """At most ``limit`` rows; one more is asked for, to tell whether there are more."""
         df = self.query(sql)
         rows = [tuple(r) for r in df.limit(limit + 1).collect()]
-        return Result(tuple(rows[:limit]), tuple(df.columns), len(rows) > limit)
+        return Page(df.columns, rows[:limit], len(rows) > limit)
+
+    def drain(self, df: DataFrame, budget_ms: float = 0.0, keep_plan: bool = False) -> float:
+        """Milliseconds to compute all rows; beyond a budget the jobs are cancelled and TimeoutError raised.
 
-    def drain(self, df: DataFrame, budget_ms: float = 0.0) -> float:
-        """Milliseconds to compute all rows; beyond a budget the jobs are cancelled and TimeoutError raised."""
+        With ``keep_plan`` the frame's own plan is the one that runs, so that its final adaptive form can be read from it.
+        """
         tag = f"requill-{uuid.uuid4().hex}"
         sc = self.spark.sparkContext
         late = threading.Event()
@@ -66,7 +102,10 @@ class Engine:
             timer.start()
         began = time.perf_counter()
         try:
-            df.write.format("noop").mode("overwrite").save()
+            if keep_plan:
+                df._jdf.queryExecution().toRdd().count()
+            else:
+                df.write.format("noop").mode("overwrite").save()
         except Exception as e:
             if late.is_set():
                 raise TimeoutError(f"over the budget of {budget_ms:g} ms") from None
@@ -87,34 +126,45 @@ class Engine:
             return Timing(0.0, runs, message(e, ERROR_TEXT) or type(e).__name__)
         return Timing(statistics.median(took[1:] if runs > 1 else took), runs)
 
-    def explain(self, sql: str) -> Plan:
-        """Run a query and read its final adaptive plan: scans, pushed filters, join strategies."""
+    def explain(self, sql: str) -> PlanFacts:
+        """Run a query and read the plan that ran, as adaptive execution left it: scans, pushed filters, join strategies."""
         df = self.query(sql)
-        took = self.drain(df)
-        text = df._jdf.queryExecution().explainString(self.spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-        physical = df._jdf.queryExecution().executedPlan().toString()
-        scans, bare = [], []
-        for line in physical.splitlines():
-            if m := re.search(r"FileScan (\S+) .*?Location: [^\[]*\[([^\]]*)\], PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", line):
-                name = m[2].rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet")
-                scans.append(name)
-                if not m[3] and not re.sub(r"IsNotNull\([^)]*\)[, ]*", "", m[4]):
-                    bare.append(name)
-        joins = re.findall(r"\b((?:BroadcastHash|SortMerge|ShuffledHash|BroadcastNestedLoop|Cartesian)\w*)\b", physical)
-        return Plan(took, 1, tuple(dict.fromkeys(scans)), tuple(dict.fromkeys(bare)), tuple(j for j in joins if "Join" in j or "Product" in j), text[:PLAN_TEXT])
+        took = self.drain(df, keep_plan=True)
+        text = df._jdf.queryExecution().executedPlan().toString()
+        # The initial plan follows the final one in the text.
+        final = text.split("+- == Initial Plan ==")[0]
+        reads: Counter[str] = Counter()
+        bare: dict[str, None] = {}
+        for m in re.finditer(r"FileScan \S+ .*?Location: [^\[]*\[([^\]]*)\], PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", final):
+            name = m[1].rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet")
+            reads[name] += 1
+            if not m[2] and not re.sub(r"IsNotNull\([^)]*\)[, ]*", "", m[3]):
+                bare[name] = None
+        joins = re.findall(r"\b((?:BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin|CartesianProduct)\w*)\b", final)
+        return PlanFacts(took, list(reads), list(bare), joins, max(reads.values(), default=1), text[:PLAN_TEXT])
 
     def sample_source(self, table: str, percent: float, seed: int = 7) -> DataFrame:
         """A Bernoulli sample that a seed repeats."""
         return self.spark.table(quote(table)).sample(max(percent, 0.0001) / 100, seed)
 
-    def catalog_topics(self) -> dict[str, DataFrame]:
-        """Columns and row counts of the views, as relations; keys are declared, as Parquet has none."""
-        columns = [(t, f.name, f.dataType.simpleString(), f.nullable, i) for t in self.tables for i, f in enumerate(self.spark.table(quote(t)).schema)]
-        counts = None
-        for t in self.tables:
-            one = self.spark.table(quote(t)).selectExpr(f"'{t}' AS table_name", "count(*) AS n_rows")
-            counts = one if counts is None else counts.unionByName(one)
-        return {"columns": self.spark.createDataFrame(columns, "table_name string, column_name string, type string, nullable boolean, position int"), "row_counts": counts if counts is not None else self.spark.createDataFrame([], "table_name string, n_rows long")}
+    def catalog_topics(self, declared: dict | None = None) -> dict[str, DataFrame]:
+        """Columns, row counts, keys, foreign keys and indexed columns as relations; the last three are as declared, since Parquet has none."""
+        declared = declared or {}
+        columns = [(t, f.name, f.dataType.simpleString(), "YES" if f.nullable else "NO", i) for t in self.tables for i, f in enumerate(self.spark.table(quote(t)).schema)]
+        listed = lambda x: (x,) if isinstance(x, str) else tuple(x)
+        keys = [(t, "primary", "PRIMARY KEY", c) for t, cs in declared.get("primary", {}).items() for c in listed(cs)]
+        keys += [(t, f"unique_{i}", "UNIQUE", c) for t, us in declared.get("unique", {}).items() for i, u in enumerate(us) for c in listed(u)]
+        foreign = [(a, f"{a}_{p}_{i}", x, p, y) for i, (a, xs, p, ys) in enumerate(declared.get("foreign_keys", ())) for x, y in zip(listed(xs), listed(ys), strict=True)]
+        indexed = [(t, c) for t, cs in declared.get("indexed", {}).items() for c in cs]
+        counts = [self.spark.table(quote(t)).selectExpr(f"'{t}' AS table_name", "count(*) AS n_rows") for t in self.tables]
+        frame = self.spark.createDataFrame
+        return {
+            "columns": frame(columns, "table_name string, column_name string, type string, nullable string, position int"),
+            "keys": frame(keys, "table_name string, constraint_name string, kind string, column_name string"),
+            "foreign_keys": frame(foreign, "child_table string, constraint_name string, child_column string, parent_table string, parent_column string"),
+            "indexed_columns": frame(indexed, "table_name string, column_name string"),
+            "row_counts": reduce(DataFrame.unionByName, counts) if counts else frame([], "table_name string, n_rows long"),
+        }
 
     def isolated(self) -> Engine:
         """An engine of a session of its own: its views are seen by no other."""

@@ -8,8 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from requill.sources.catalog import Catalog, short_type
-from requill.types import ForeignKey
+from requill.sources.catalog import Catalog, ForeignKey, short_type
 
 #: Lines of a dump that set up its server and say nothing of tables or rows.
 _NOISE = re.compile(r"(?i)\s*(?:/\*!.*|--.*|lock\s+tables.*|unlock\s+tables.*|set\s.*|use\s.*|start\s+transaction.*|begin.*|commit.*|pragma\s.*|drop\s+table.*|alter\s+table\s+\S+\s+(?:dis|en)able\s+keys.*)?\Z", re.S)

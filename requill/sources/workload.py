@@ -7,7 +7,10 @@ import re
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
-_HEADER = re.compile(r"\A\s*--\s*([A-Za-z]+\d\w*)\s*:\s*(.*?)\s*\Z")
+#: A header line, and all up to the next one.
+_BLOCK = re.compile(r"^[ \t]*--[ \t]*([A-Za-z]+\d\w*)[ \t]*:[ \t]*(.*?)[ \t]*$\n?(.*?)(?=^[ \t]*--[ \t]*[A-Za-z]+\d\w*[ \t]*:|\Z)", re.M | re.S)
+#: Lines that say nothing to Spark, and the first line that ends in a semicolon with all after it.
+_ASIDE, _END = re.compile(r"^[ \t]*(?:--|```).*$\n?", re.M), re.compile(r";[ \t]*$.*", re.M | re.S)
 
 
 @dataclass(frozen=True)
@@ -38,28 +41,8 @@ class Workload:
 
 def parse_sql(text: str) -> tuple[Query, ...]:
     """Queries under headers ``-- Q1: what it asks``; full-line comments and fences are left out, text before a header too."""
-    found: list[Query] = []
-    head: tuple[str, str] | None = None
-    lines: list[str] = []
-
-    def close() -> None:
-        nonlocal head
-        sql = "\n".join(lines).strip().rstrip(";").strip()
-        if head and sql:
-            found.append(Query(head[0], sql, head[1]))
-        head = None
-        lines.clear()
-
-    for line in text.splitlines():
-        if m := _HEADER.match(line):
-            close()
-            head = m[1], m[2]
-        elif head and not line.lstrip().startswith(("--", "```")):
-            lines.append(line)
-            if line.rstrip().endswith(";"):
-                close()
-    close()
-    return tuple(found)
+    blocks = ((qid, _END.sub("", _ASIDE.sub("", body)).strip(), told) for qid, told, body in _BLOCK.findall(text.replace("\r\n", "\n")))
+    return tuple(Query(*b) for b in blocks if b[1])
 
 
 def load(path: str | Path) -> Workload:

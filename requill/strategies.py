@@ -6,13 +6,18 @@ from dataclasses import dataclass
 
 from requill.rules import TACTICS
 
-CONTRACT = """You rewrite one SQL query for Spark so that it runs faster and returns exactly the same rows.
-Keep every output column, its order, and duplicates. Keep DISTINCT, ORDER BY and LIMIT where the query has them.
-Leave no correlated subquery. Join a derived relation only on columns that are unique in it; group it first if need be.
-Never replace NOT EXISTS by NOT IN. Don't wrap columns that are compared in functions or casts.
-Use only tables and columns of the schema. Answer with one statement that ends in a semicolon."""
-QUESTIONS = """Before any SQL, answer briefly: which subqueries depend on the outer row; on which keys; which of them return one row a key;
-which tables are large; which filters can run first; and what nulls do in each comparison."""
+CONTRACT = """Task: another form of the SQL between the marks, for Spark, over Parquet files.
+Your statement is analysed first. It is refused if it
+ - is anything but one SELECT (or WITH ... SELECT), or names what the schema hasn't;
+ - has a subquery that refers to a row outside of it;
+ - joins a grouped or derived relation by columns that don't determine its rows;
+ - turns a test for absence into NOT IN;
+ - lacks the DISTINCT, ORDER BY or LIMIT of the original;
+ - compares a key only after a cast or function of it.
+Then both statements run, and a single row too many or too few, or columns in another order, refutes yours.
+What is left competes by its time. End the statement with a semicolon."""
+QUESTIONS = """No SQL yet. Name every part of this query that is computed once per row though once per key would do, the key, and how a null
+in it behaves. Say which table is the largest and what could make it smaller before anything is joined to it."""
 
 
 @dataclass(frozen=True)

@@ -7,19 +7,18 @@ import pytest
 
 from requill import cli
 from requill.functions.replies import extract_sql, strip_fences
-from requill.models import ChatModel, EchoModel, HttpModel, available_models, ladder, parse_model
+from requill.models import ChatModel, EchoModel, HttpModel, ModelError, Reply, available_models, cheaper, parse_model
 from requill.operators.equivalence import Equivalence, compare
 from requill.operators.ranking import Measurement, QueryReport, by_strategy, compare_strategies, measure_query, measurements, ranked, render_table, save_json, summary, to_json
 from requill.operators.shapes import SHAPES
 from requill.plans.gates import check
-from requill.rewriter import Rewriter
-from requill.rules import conjuncts, rewrite
+from requill.rewriter import Candidate, Rewriter, RewriteResult
+from requill.rules import TACTICS, conjuncts, rewrite
 from requill.sources.catalog import STAR, introspect
 from requill.sources.engine import Engine
 from requill.sources.ingest import clean_dump, from_dump, load_dump, write_tables
 from requill.sources.workload import Query, discover, format_sql, load, parse_sql
 from requill.strategies import STRATEGIES, get_strategy
-from requill.types import Candidate, ModelError, Reply, RewriteResult
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
@@ -56,7 +55,7 @@ def test_sql_of_replies():
 
 
 def test_models(monkeypatch):
-    assert ladder("high") == ["high", "medium", "low"] and ladder("low") == ["low"]
+    assert cheaper("high") == ("high", "medium", "low") and cheaper("low") == ("low",) and cheaper("odd") == cheaper("medium") == ("medium", "low")
     model = Scripted("", "", "SELECT 1;")
     assert model.chat("s", "u", "high").sql == "SELECT 1" and [a[1] for a in model.asked] == ["high", "medium", "low"]
     with pytest.raises(ModelError):
@@ -98,6 +97,7 @@ RULED = {
     "window": "SELECT o.o_custkey, o.o_orderkey FROM orders o WHERE o.o_totalprice = (SELECT max(x.o_totalprice) FROM orders x WHERE x.o_custkey = o.o_custkey) ORDER BY o.o_custkey",
     "anti-join": "SELECT o.o_orderkey FROM orders o WHERE o.o_orderstatus <> 'X' AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity BETWEEN 1 AND 40)",
     "semi-join": "SELECT c.c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')",
+    "pushdown": "SELECT t.o_orderkey FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 1000) t WHERE t.o_custkey > 50 AND t.o_orderkey > t.o_custkey",
     "filter-first": "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 100 AND o.o_totalprice > c.c_acctbal",
 }
 
@@ -133,7 +133,7 @@ def test_rewriter_repairs_and_tells_apart(engine, catalog):
     model = Scripted("a plan", "SELECT nope FROM orders;", GOOD, GOOD.replace("g.m", "g.m "), "")
     result = Rewriter(engine, catalog, model, "existing", variants=3, attempts=2).rewrite("Q1", SOURCE)
     first, second, third = result.candidates
-    assert first.accepted and first.attempts == 2 and "nope" in model.asked[2][0] and model.asked[2][1] == "medium" and first.tokens == 10
+    assert first.accepted and first.attempts == 2 and "nope" in model.asked[2][0] and model.asked[2][1] == "high" and first.tokens == 10
     assert not second.accepted and second.error.startswith("the same") and third.error and result.plan == "a plan" and result.accepted == [first]
     assert len({c.label for c in result.candidates}) == 3
     assert Rewriter(engine, catalog, EchoModel(SOURCE), "zero-shot", 1).rewrite("Q1", SOURCE).candidates[0].verdict.problems
