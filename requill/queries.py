@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from requill import evidence
 from requill.functions.values import multiset
 from requill.operators.equivalence import difference
-from requill.operators.ranking import MEASUREMENTS, by_strategy, ranked, summary
+from requill.operators.ranking import by_strategy, ranked, summary
 from requill.operators.sampling import dangling, hashed_sample, with_parents
 from requill.operators.shapes import SHAPES, Tables
 from requill.sources.catalog import STAR, ForeignKey, fan_in_counts
@@ -122,25 +123,30 @@ def arrays_equal(spark: SparkSession, folder: str) -> DataFrame:
     return multiset(Tables(spark, folder).embeddings.select("embedding")).groupBy("copies").agg(F.count("*").alias("n"))
 
 
-#: A fixture of measurements: values of the tests, not of any run.
-MEASURED = [
-    ("Q1", "one", "plan", 100.0, 20.0, 10.0, 5.0, True, ""), ("Q1", "one", "window", 100.0, 50.0, 12.0, 2.0, None, ""), ("Q1", "one", "grouped", 100.0, 0.0, 9.0, None, False, "different"),
-    ("Q2", "two", "plan", 10.0, 10.0, 30.0, 1.0, True, ""), ("Q2", "one", "plan", 10.0, 8.0, 20.0, 1.25, True, ""), ("Q3", "two", "plan", None, 4.0, 5.0, None, True, ""),
-]
-_QUOTED = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in MEASURED)
-_M = f"m(qid, strategy, label, baseline_ms, median_ms, generation_ms, speedup, equivalent, error) AS (VALUES {_QUOTED})"
+def _measured(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders read as measurements: a customer is a query, an order a candidate, its total the time; status and key say how it fared."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    return Tables(spark, folder).orders.select(
+        F.col("o_custkey").cast("string").alias("qid"), F.col("o_orderpriority").alias("strategy"), key.cast("string").alias("label"), F.lit(150000.0).alias("baseline_ms"), price.alias("median_ms"),
+        (key % 100).cast("double").alias("generation_ms"), (150000.0 / price).alias("speedup"), F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "P", False).alias("equivalent"),
+        F.when(key % 10 == 0, "failed").otherwise("").alias("error"),
+    )
+
+
+_M = """m AS (SELECT CAST(o_custkey AS VARCHAR) AS qid, o_orderpriority AS strategy, CAST(o_orderkey AS VARCHAR) AS label, o_totalprice AS median_ms, CAST(o_orderkey % 100 AS DOUBLE) AS generation_ms,
+150000.0 / o_totalprice AS speedup, CASE o_orderstatus WHEN 'F' THEN true WHEN 'P' THEN false END AS equivalent, CASE WHEN o_orderkey % 10 = 0 THEN 'failed' ELSE '' END AS error FROM orders)"""
 
 
 def rank_measurements(spark: SparkSession, folder: str) -> DataFrame:
-    return ranked(spark.createDataFrame(MEASURED, MEASUREMENTS)).select("qid", "label", "median_ms", F.col("place").cast("long").alias("place"))
+    return ranked(_measured(spark, folder)).select("qid", "label", "median_ms", F.col("place").cast("long").alias("place"))
 
 
 def rank_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return summary(spark.createDataFrame(MEASURED, MEASUREMENTS))
+    return summary(_measured(spark, folder))
 
 
 def rank_strategies(spark: SparkSession, folder: str) -> DataFrame:
-    return by_strategy(spark.createDataFrame(MEASURED, MEASUREMENTS))
+    return by_strategy(_measured(spark, folder))
 
 
 _D = lambda x: f"CAST({x} AS DOUBLE)"
@@ -168,8 +174,8 @@ OWN = {
 
 
 def queries() -> dict[str, Query]:
-    return OWN | {name: (lambda spark, folder, s=s: s.build(Tables(spark, folder))) for name, s in SHAPES.items()}
+    return OWN | evidence.QUERIES | {name: (lambda spark, folder, s=s: s.build(Tables(spark, folder))) for name, s in SHAPES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | {name: s.sql for name, s in SHAPES.items()}
+    return ORACLES | evidence.ORACLES | {name: s.sql for name, s in SHAPES.items()}
