@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from requill.llm.common import CACHE_WORDS, texts
+from requill.llm.common import CACHE_WORDS, cut, texts
 
 #: Weights of the model; its size doesn't depend on the data.
 BUCKETS = 1 << 18
 #: Labelled documents that the model is fitted on at most, by default.
 SAMPLE = 16_000
-#: A bucket counts if at least one in so many of the sample's documents has it, and three do.
+#: Buckets of the sample's documents that come to the driver at most, four bytes each: long texts fill it with fewer documents.
+BUDGET = 24_000_000
+#: A bucket counts if at least one in so many of the sample's documents has it, and three do: a part of the fit, so it follows the sample's size, not the corpus's.
 RARE = 500
 MARKS = b".,;:!?\"'()[]{}#*$%&|<>-_=+/\\~@^`"
 
@@ -103,15 +105,21 @@ def featured(frame: DataFrame, columns: str) -> DataFrame:
     return frame.mapInArrow(run, ", ".join(f"{k} long" for k in names) + ", features array<int>")
 
 
-def train(documents: DataFrame, labels: DataFrame, grade: Column, levels: int, sample: int = SAMPLE) -> OrdinalModel:
-    """A model fitted on at most ``sample`` labelled documents, those first by a hash of their id.
+def train(documents: DataFrame, labels: DataFrame, grade: Column, levels: int, sample: int = SAMPLE, budget: int = BUDGET) -> OrdinalModel:
+    """A model fitted on at most ``sample`` labelled documents, those first by a hash of their id, and at most ``budget`` buckets of them.
 
     Labels without an id or grade, or of documents that aren't there, are
-    passed over; with none at all every score is 0.
+    passed over; with none at all every score is 0. The sizes of the sample's
+    documents come to the driver first, then the buckets of those that fit.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("long").alias("grade")).dropna().distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
-    rows = featured(texts(documents).join(F.broadcast(chosen), "doc_id"), "doc_id grade").toArrow()
+    rows = cut(featured(texts(documents).join(F.broadcast(chosen), "doc_id"), "doc_id grade").withColumn("place", F.xxhash64("doc_id")))
+    sizes = rows.groupBy("place").agg(F.sum(F.size("features")).alias("n")).orderBy("place").toArrow()
+    fit = np.cumsum(sizes.column("n").to_numpy()) <= budget
+    if not fit.all():
+        rows = rows.where(F.col("place") < int(sizes.column("place").to_numpy()[~fit][0]))
+    rows = rows.select("doc_id", "grade", "features").toArrow()
     order = np.lexsort((rows.column("grade").to_numpy(), rows.column("doc_id").to_numpy()))
     features, grades = rows.column("features"), rows.column("grade").to_numpy()
     return OrdinalModel.fit([features[int(i)].values.to_numpy() for i in order], grades[order], levels)

@@ -572,6 +572,23 @@ def test_grades_hold_out(spark):
     assert all(abs(again[i] - made[i].score) < 1e-6 for i in again)
 
 
+def test_scores_match_brute_force(spark, rows):
+    """Scores of every text, awkward ones too, by plain sums over the model's weights; equal texts are graded alike."""
+    given = [*rows, (None, rows[0][1]), (7, "MARKED, (words)! "), (7, "MARKED, (words)! "), (8, "x" * 50_000), (9, "long " * 30_000 + "tail")]
+    frame = clashing(spark.createDataFrame(given, DOCS))
+    labels = spark.createDataFrame([(i, i % 3) for i in range(0, 60, 2)], "doc_id long, grade int")
+    model = grades.train(frame, labels, F.col("grade"), 3)
+    again = grades.train(frame, labels, F.col("grade"), 3, budget=2000)
+    assert np.abs(model.weights).sum() > 0 and not np.array_equal(model.weights, again.weights)
+    expected = Counter()
+    for i, text in given:
+        score = sum(float(model.weights[b]) for w in set(brute.WORD.findall(text or "")) for b in grades.word_features(w.encode()))
+        p = [1 / (1 + np.exp(-(score - t))) for t in model.thresholds]
+        expected[i, round(score, 6), round(sum(p), 6), round(p[1], 6), bool(p[1] >= 0.4)] += 1
+    made = grades.grade_documents(frame, labels, F.col("grade"), 3, 2, threshold=0.4)
+    assert Counter((r.doc_id, round(r.score, 6), round(r.expected_grade, 6), round(r.p_keep, 6), r.kept) for r in made.collect()) == expected
+
+
 def test_grades_without_labels_or_text(spark):
     frame = spark.createDataFrame([(1, None), (None, "a"), (1, "a"), (1, "a")], DOCS)
     labels = spark.createDataFrame([], "doc_id long, grade int")
