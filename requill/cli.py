@@ -16,7 +16,7 @@ from requill.rewriter import Rewriter
 from requill.session import session
 from requill.sources.catalog import STAR, Catalog, introspect
 from requill.sources.engine import Engine
-from requill.sources.ingest import from_dump, load_dump, write_tables
+from requill.sources.ingest import from_dump, load_file, write_tables
 from requill.sources.workload import Query, format_sql, load
 from requill.strategies import STRATEGIES
 
@@ -127,9 +127,10 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "compare":
         compare_strategies(session(), args.reports).show(truncate=False)
     elif args.command == "load":
-        catalog, tables, lost = load_dump(session(), Path(args.dump).read_text(encoding="utf-8"))
-        write_tables(tables, args.out, catalog)
-        print(json.dumps({"tables": sorted(tables), "repeated_keys": lost}))
+        found = load_file(session(), args.dump)
+        write_tables(found.tables, args.out, found.catalog)
+        print(json.dumps({"tables": sorted(found.tables), "repeated_keys": found.duplicates, "failures": found.failures, "examples": found.examples}))
+        found.release()
     return 0
 
 

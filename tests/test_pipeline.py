@@ -16,7 +16,7 @@ from requill.rewriter import Candidate, Rewriter, RewriteResult
 from requill.rules import TACTICS, conjuncts, rewrite
 from requill.sources.catalog import STAR, introspect
 from requill.sources.engine import Engine
-from requill.sources.ingest import clean_dump, from_dump, load_dump, write_tables
+from requill.sources.ingest import clean_dump, from_dump, inserted, load_dump, load_file, write_tables
 from requill.sources.workload import Query, discover, format_sql, load, parse_sql
 from requill.strategies import STRATEGIES, get_strategy
 
@@ -224,6 +224,25 @@ def test_dumps(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/ratings.parquet").count() == 1
 
 
+def test_dump_files_in_blocks(spark, tmp_path):
+    """Quotes, comments and statements that lie across blocks are read as if the file were one."""
+    rows = [f"({i}, 'a;\n-- b''{i}\\', \"/*\" ', {i % 7}.5)" for i in range(400)]
+    text = "CREATE TABLE t (id INT PRIMARY KEY, s TEXT, x DOUBLE); /* one ; 'two\n */\n" + "INSERT INTO t VALUES " + ",\n ".join(rows[:300]) + ";\n" + "".join(f"INSERT INTO t (x, s, id) VALUES (1, 'z', {i});\n" for i in range(300, 340))
+    text += "INSERT INTO t VALUES (1, 'again', 2), ('x', 'no number', 1), (500, 'short'), (NULL, 'no key', 1);\nINSERT INTO t (id, y) VALUES (501, 1);\nINSERT INTO u VALUES (1);\nINSERT INTO t VALUES (600, 'end', 1)"
+    (tmp_path / "d.sql").write_text(text)
+    expected = {int(v[0]): v for table, c, v in inserted(text) if table == "t" and c is None and len(v) == 3 and (v[0] or "x").isdigit() and v[1] != "again"}
+    for size in ("700", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = load_file(spark, str(tmp_path / "d.sql"))
+            found = {r.id: r for r in got.tables["t"].collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(found) == 341 and got.duplicates == {"t": 1} and got.failures == {"t": 4, "u": 1} and len(got.examples) == 4
+        assert all((found[i].s, found[i].x) == (v[1], float(v[2])) for i, v in expected.items()) and found[320].s == "z" and found[320].x == 1.0
+        got.release()
+
+
 def test_command_line(spark, small, tmp_path, capsys):
     work = tmp_path / "w.sql"
     work.write_text(f"-- Q1: above the year's average\n{SOURCE};\n-- Q2: plain\nSELECT count(*) FROM region;\n")
