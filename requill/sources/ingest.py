@@ -181,9 +181,10 @@ def _scan(line: str, mark: str) -> tuple[str, list[int]]:
     return mark, ends
 
 
-def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, str]]:
+def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, int, int], str]]:
+    """Lines with their block: file, start, length."""
     for frame in frames:
-        yield from zip(frame["file"], frame["block"], frame["value"], strict=True)
+        yield from zip(zip(frame["file"], frame["block"], frame["size"], strict=True), frame["value"], strict=True)
 
 
 def _frames(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
@@ -196,18 +197,18 @@ def _survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def told() -> Iterator[tuple]:
         key, marks, cut = None, [], []
-        for file, block, line in _lines(frames):
-            if key != (file, block):
+        for at, line in _lines(frames):
+            if key != at:
                 if key:
                     yield *key, marks, cut
-                key, marks, cut = (file, block), list(_MARKS), [False] * len(_MARKS)
+                key, marks, cut = at, list(_MARKS), [False] * len(_MARKS)
             seen = {m: _scan(line, m) for m in set(marks)}
             cut = [c or bool(seen[m][1]) for c, m in zip(cut, marks, strict=True)]
             marks = [seen[m][0] for m in marks]
         if key:
             yield *key, marks, cut
 
-    return _frames(told(), ["file", "block", "marks", "cut"])
+    return _frames(told(), ["file", "block", "size", "marks", "cut"])
 
 
 def _parsed(file: str, block: int, seq: int, text: str) -> Iterator[tuple]:
@@ -219,27 +220,27 @@ def _parsed(file: str, block: int, seq: int, text: str) -> Iterator[tuple]:
             yield file, block, seq, i, "row", table, list(columns) if columns else None, items, None
 
 
-def _cutter(begins: dict[tuple[str, int], tuple[str, int]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _cutter(begins: dict[tuple[str, int, int], tuple[str, int]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Parses the statements within each block; what a block's ends cut off comes out as pieces of the block that their statement began in."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found() -> Iterator[tuple]:
             key, mark, owner, seq, held = None, "", -1, 0, []
             piece = lambda: (key[0], owner, key[1], 0, "piece", "", None, None, "\n".join(held))
-            for file, block, line in _lines(frames):
-                if key != (file, block):
+            for at, line in _lines(frames):
+                if key != at:
                     if key:
                         yield piece()
-                    key, seq, held = (file, block), 0, []
+                    key, seq, held = at, 0, []
                     mark, owner = begins[key]
                 mark, ends = _scan(line, mark)
                 for start, end in zip([0, *ends], ends, strict=False):
                     held.append(line[start:end])
                     if seq:
-                        yield from _parsed(file, block, seq, "\n".join(held))
+                        yield from _parsed(key[0], key[1], seq, "\n".join(held))
                     else:
                         yield piece()
-                    seq, held, owner = seq + 1, [], block
+                    seq, held, owner = seq + 1, [], key[1]
                 held.append(line[ends[-1] if ends else 0 :])
             if key:
                 yield piece()
@@ -297,12 +298,12 @@ def _table(rows: DataFrame, catalog: Catalog, table: str) -> tuple[DataFrame, Da
 
 
 def _load(lines: DataFrame) -> Loaded:
-    surveyed = lines.mapInPandas(_survey, "file string, block long, marks array<string>, cut array<boolean>").collect()
+    surveyed = lines.mapInPandas(_survey, "file string, block long, size long, marks array<string>, cut array<boolean>").collect()
     begins, last = {}, None
     for r in sorted(surveyed, key=lambda r: (r.file, r.block)):
         if last != r.file:
             last, mark, owner = r.file, "", -1
-        begins[r.file, r.block] = mark, owner
+        begins[r.file, r.block, r.size] = mark, owner
         i = _MARKS.index(mark)
         mark, owner = r.marks[i], r.block if r.cut[i] else owner
     held = lines.mapInPandas(_cutter(begins), _PARTS).persist(StorageLevel.DISK_ONLY)
@@ -328,19 +329,21 @@ def load_file(spark: SparkSession, path: str) -> Loaded:
     Blocks of lines are first surveyed for the quotes and comments open at their
     ends, as a semicolon ends a statement only outside of those; one row for each
     block reaches the driver. Then each block is parsed by itself, and statements
-    across blocks are put together. A worker holds one statement at a time.
+    across blocks are put together. A worker holds one statement at a time. If
+    the file is cut otherwise when it is read again, as the cluster grew or
+    shrank in between, the load fails with a KeyError and must be repeated.
 
     Rows with too few or too many values, an unknown column, a value that its
     column's type can't hold, or a null in the primary key are counted as
     failures and left out. Of repeated primary keys the first in the file stays.
     NOT NULL outside the key and foreign keys aren't enforced, defaults not filled in.
     """
-    return _load(spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")))
+    return _load(spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("size")))
 
 
 def load_dump(spark: SparkSession, text: str) -> tuple[Catalog, dict[str, DataFrame], dict[str, int]]:
     """``load_file`` for a text: catalog, tables, and how many rows each lost to repeated primary keys."""
-    lines = spark.createDataFrame([(line, "", 0) for line in text.split("\n")], "value string, file string, block long").coalesce(1)
+    lines = spark.createDataFrame([(line, "", 0, 0) for line in text.split("\n")], "value string, file string, block long, size long").coalesce(1)
     return _load(lines)[:3]
 
 
