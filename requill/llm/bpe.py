@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from requill.llm.common import texts
+from requill.llm.common import texts, tidy
 
 #: Pieces and fragments that a worker remembers before it starts afresh, and the longest that it remembers: together they bound its memory.
 CACHE_PIECES, CACHE_FRAGMENTS, CACHE_LENGTH = 300_000, 200_000, 64
@@ -129,7 +130,7 @@ class Pieces(dict):
 
     def __init__(self, coder: Coder) -> None:
         super().__init__()
-        self.coder = coder
+        self.coder = weakref.proxy(coder)
 
     def __missing__(self, piece: str) -> tuple[int, str, str]:
         ids = self.coder.piece_ids(piece)
@@ -146,7 +147,7 @@ class Counts(dict):
 
     def __init__(self, coder: Coder) -> None:
         super().__init__()
-        self.coder = coder
+        self.coder = weakref.proxy(coder)
 
     def __missing__(self, piece: str) -> int:
         n = len(self.coder.piece_ids(piece))
@@ -164,7 +165,12 @@ def vocabulary_text(path: str) -> str:
 
 
 class Coder:
-    """``(number of ids, ids joined by one space, decoded text)`` of a text, by the text of a vocabulary file."""
+    """``(number of ids, ids joined by one space, decoded text)`` of a text, by the text of a vocabulary file.
+
+    Its caches know it by weak references: so it goes with the task that made
+    it, although garbage isn't collected meanwhile, and the next task's doesn't
+    come on top.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
@@ -302,4 +308,4 @@ def encode_decode(documents: DataFrame, vocabulary: str, with_ids: bool = False)
     """
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary))
-    return texts(documents).mapInArrow(coder(shared, with_ids), ddl)
+    return texts(documents).mapInArrow(tidy(coder(shared, with_ids)), ddl)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,33 @@ def thin(df: DataFrame) -> DataFrame:
     return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // THIN))
 
 
+#: glibc's call that gives freed memory back to the system; None where there is no such thing.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def give_back() -> None:
+    """Freed memory that Arrow and the C library keep for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, at whose end the worker gives back what it has freed.
+
+    Workers stay for later tasks, and a task of two such steps takes two of
+    them, so what idle ones hold adds to what busy ones need.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered for up to CACHE_WORDS words."""
 
@@ -417,7 +445,7 @@ def beside(documents: DataFrame, compute, columns: str, carry: list[str] | None
             arrays = [pa.array(v, f.type) for v, f in zip(values, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["row", *kinds.names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def workspace(spark: SparkSession) -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from requill.llm.common import batches_of, cut, thin
+from requill.llm.common import batches_of, cut, thin, tidy
 
 #: Links that a task contracts at a time.
 FOREST_LINKS = 500_000
@@ -77,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
     links and links of an id with itself are fine; no edges give no rows.
     """
     links = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
-    blocks = thin(links).mapInArrow(forests, "node long, centre long")
+    blocks = thin(links).mapInArrow(tidy(forests), "node long, centre long")
     ids = cut(thin(blocks.groupBy("node").agg(F.collect_set("centre").alias("centres"))).select("node", F.array_min("centres").alias("p"), "centres"))
     between = ids.where(F.size("centres") > 1).select(F.explode("centres").alias("a"), F.col("p").alias("b")).where("a <> b")
     between = cut(thin(between.distinct()))
@@ -86,7 +86,7 @@ def components(edges: DataFrame) -> DataFrame:
     if not n:
         return linked.withColumnRenamed("p", "root")
     if n < FOREST_LINKS:
-        rooted = between.coalesce(1).mapInArrow(forests, "p long, root long")
+        rooted = between.coalesce(1).mapInArrow(tidy(forests), "p long, root long")
     else:
         rooted = _rounds(between).select(F.col("node").alias("p"), "root")
     return linked.join(rooted, "p", "left").select("node", F.coalesce("root", "p").alias("root"))

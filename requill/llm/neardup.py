@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from requill.llm.common import U64, WordHashes, batches_of, cut, grouped, mix, offsets, signed, texts, thin, window_hashes, word_chunks
+from requill.llm.common import U64, WordHashes, batches_of, cut, grouped, mix, offsets, signed, texts, thin, tidy, window_hashes, word_chunks
 from requill.llm.graph import components
 
 #: Sought chance to miss a pair that is just similar enough.
@@ -313,7 +313,7 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int)
     def compared(placed: DataFrame) -> DataFrame:
         rows = docs.join(placed, docs["doc_id"] == placed["node"]).select("root", "p", "q", "is_left", "is_right", "doc_id", "text")
         dealt = rows.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
-        return dealt.mapInArrow(verifier(shingle, percent), "a long, b long")
+        return dealt.mapInArrow(tidy(verifier(shingle, percent)), "a long, b long")
 
     yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
     blocks_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
@@ -343,10 +343,10 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int)
 
 def _judged(classes: DataFrame, keyed: DataFrame, least: int) -> DataFrame:
     """Links of ``linker`` between members of keys, judged; see ``judge``."""
-    links = keyed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(linker, "a long, b long").distinct()
+    links = keyed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(tidy(linker), "a long, b long").distinct()
     own = lambda side: classes.select(F.col("rep").alias(side), F.col("mh").alias(f"mh_{side}"))
     pairs = thin(thin(thin(links).join(own("a"), "a")).join(own("b"), "b").select("a", "b", "mh_a", "mh_b"))
-    return cut(pairs.mapInArrow(judge(least), "a long, b long, key long"))
+    return cut(pairs.mapInArrow(tidy(judge(least)), "a long, b long, key long"))
 
 
 def candidates(classes: DataFrame, least: int) -> DataFrame:
@@ -361,7 +361,7 @@ def candidates(classes: DataFrame, least: int) -> DataFrame:
     COLUMNS, spread over tasks. That is a square of the members of a key that
     lie outside its largest cluster, and of nothing else.
     """
-    keys = lambda rows, which: rows.select("rep", "root", "mh").mapInArrow(bander(which), "key long, doc long, root long")
+    keys = lambda rows, which: rows.select("rep", "root", "mh").mapInArrow(tidy(bander(which)), "key long, doc long, root long")
     rooted = lambda clusters: classes.join(clusters.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     agreed = lambda judged: judged.where(F.col("key") == NONE).select("a", "b")
     early = agreed(_judged(classes, keys(classes.withColumn("root", F.col("rep")), "some"), least))
@@ -396,7 +396,7 @@ def candidates(classes: DataFrame, least: int) -> DataFrame:
     rights = dealt.where("NOT is_left").withColumn("q", own_block("qs")).withColumn("p", all_blocks("ps"))
     columns = ("part", "g", "p", "q", "doc", "root", "short", "is_left")
     group = ("part", "g", "p", "q")
-    more = lefts.select(*columns).unionByName(rights.select(*columns)).repartition(*group).sortWithinPartitions(*group).mapInArrow(comparer(least), "a long, b long")
+    more = lefts.select(*columns).unionByName(rights.select(*columns)).repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(comparer(least)), "a long, b long")
     return components(good.unionByName(more))
 
 
@@ -424,7 +424,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     similarity = percent / 100
     m = collection_size(similarity)
     docs = texts(documents)
-    sketches = cut(docs.mapInArrow(sketcher(shingle, 4 * m), "doc_id long, n_shingles long, s1 long, s2 long, mh array<int>"))
+    sketches = cut(docs.mapInArrow(tidy(sketcher(shingle, 4 * m)), "doc_id long, n_shingles long, s1 long, s2 long, mh array<int>"))
     classes = cut(sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("mh").alias("mh")))
     clusters = candidates(classes.select("rep", "mh"), least_agreement(similarity, 4 * m))
     found = components(_confirmed(docs, clusters, shingle, percent))

@@ -1,12 +1,15 @@
 """The pipeline's stages against plain Python, on the small table."""
 
+import gc
+import os
+import weakref
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from requill.llm import common, queries
+from requill.llm import bpe, common, queries
 from tests.llm import brute
 
 pytestmark = pytest.mark.filterwarnings("ignore")
@@ -83,3 +86,47 @@ def test_stages_after_a_shuffle(spark, small):
     docs = spark.createDataFrame([(i % 3, prose(i % 4), "en", "s", 1) for i in range(40)], COLUMNS).repartition(7)
     assert "Exchange" not in common.numbered(docs, "row")._jdf.queryExecution().executedPlan().toString()
     assert corpus_pipeline.near_dedup(spark, docs, small).count() == 4
+
+
+def test_rules_keep_no_copy_of_the_texts(spark, small):
+    """The first stage leaves nothing in the shared folder: a copy of all texts would stand beside what near-dedup shuffles."""
+    folder = common.ensure_checkpoint_dir(spark).removeprefix("file:")
+    held = lambda: sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(folder) for x in names)
+    docs, before = spark.read.parquet(f"{small}/documents.parquet"), held()
+    made = corpus_pipeline.quality_rules(spark, docs, small)
+    assert made.count() > 0 and held() == before
+    # The verdicts are those of the query, which measures once.
+    assert sorted(r.doc_id for r in made.collect()) == sorted(r.doc_id for r in queries.queries()["op10_quality_rules"](spark, small).where("kept").collect())
+
+
+def test_coders_go_with_their_tasks():
+    """Garbage isn't collected while a worker encodes, so a coder that waited for that would come on top of the next task's."""
+    gc.disable()
+    try:
+        coder = bpe.Coder(bpe.vocabulary_text(queries.vocabulary_path()))
+        assert coder.code("two words")[0] == coder.count("two words") > 0
+        seen = weakref.ref(coder)
+        del coder
+        assert seen() is None
+    finally:
+        gc.enable()
+
+
+def test_tidy_steps_give_the_same():
+    """Whether a step's batches are read to their end or not, and when it fails."""
+    ended = []
+
+    def run(batches):
+        try:
+            for x in batches:
+                yield 10 // x
+        finally:
+            ended.append(1)
+
+    assert list(common.tidy(run)(iter([1, 2, 5]))) == [10, 5, 2]
+    some = common.tidy(run)(iter([1, 2]))
+    assert next(some) == 10
+    some.close()
+    with pytest.raises(ZeroDivisionError):
+        list(common.tidy(run)(iter([1, 0])))
+    assert len(ended) == 3
